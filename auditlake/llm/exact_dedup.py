@@ -1,7 +1,7 @@
 """Exact dedup on an extendible-hash index that is kept in shared files (DataFrame operations only).
 
 A text's key is the leading 60 bits of the SHA-256 of its white-space-normalised form.  Copies are collapsed
-first by grouping on (key, whole text): Spark's hash aggregation compares full bytes inside a hash chain, and
+first by grouping on the whole text: Spark's hash aggregation compares full bytes inside a hash chain, and
 its map-side half leaves one row a text and task, so a text that a third of all rows share cannot overload a
 reducer.  A directory over key prefixes then doubles until no bucket holds more than `capacity` entries,
 ranges of neighbouring buckets go to owner tasks, and each owner writes its range sorted by (bucket, key,

@@ -7,6 +7,8 @@ import importlib
 #: query name -> (module, function, name of the SQL text or None)
 _OPS = {
     "op1_exact_dedup": ("exact_dedup", "op1", "OP1_SQL"),
+    "op2_sentencepiece": ("sentencepiece_codec", "op2", None),
+    "op10_chat_format": ("chat_format", "op10", None),
 }
 
 
