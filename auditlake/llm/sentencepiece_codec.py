@@ -153,7 +153,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         sp = load_model(model)
         for batch in batches:
             ids = batch.column(1)
-            yield batch.append_column("text", pa.array((sp.decode(x.values.to_pylist()) for x in ids), pa.string(), len(ids)))
+            yield batch.append_column("text", pa.array([sp.decode(x.values.to_pylist()) for x in ids], pa.string()))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
 
