@@ -8,6 +8,7 @@ import importlib
 _OPS = {
     "op1_exact_dedup": ("exact_dedup", "op1", "OP1_SQL"),
     "op2_sentencepiece": ("sentencepiece_codec", "op2", None),
+    "op4_secret_scan": ("secret_scan", "op4", None),
     "op10_chat_format": ("chat_format", "op10", None),
 }
 
