@@ -9,6 +9,7 @@ _OPS = {
     "op1_exact_dedup": ("exact_dedup", "op1", "OP1_SQL"),
     "op2_sentencepiece": ("sentencepiece_codec", "op2", None),
     "op4_secret_scan": ("secret_scan", "op4", None),
+    "op5_warc": ("warc_archive", "op5", "OP5_SQL"),
     "op10_chat_format": ("chat_format", "op10", None),
 }
 
