@@ -10,6 +10,8 @@ _OPS = {
     "op2_sentencepiece": ("sentencepiece_codec", "op2", None),
     "op4_secret_scan": ("secret_scan", "op4", None),
     "op5_warc": ("warc_archive", "op5", "OP5_SQL"),
+    "op6_quality_classifier": ("quality_classifier", "op6", None),
+    "op7_decontamination": ("decontamination", "op7", None),
     "op10_chat_format": ("chat_format", "op10", None),
 }
 
