@@ -12,6 +12,7 @@ _OPS = {
     "op5_warc": ("warc_archive", "op5", "OP5_SQL"),
     "op6_quality_classifier": ("quality_classifier", "op6", None),
     "op7_decontamination": ("decontamination", "op7", None),
+    "op8_minhash_near_dedup": ("near_dedup", "op8", None),
     "op10_chat_format": ("chat_format", "op10", None),
 }
 
