@@ -3,8 +3,8 @@
 The model joins no piece across the start of a whitespace marker (checked when the model is loaded), so a
 text is the sequence of its marked words: a run of markers with what follows up to the next one.  Each task
 segments every distinct marked word once with the library, keeps the ids in one flat array, and joins them
-back by position with numpy gathers.  Nothing is shuffled and no table grows with the corpus: a task's table
-is emptied when it has TABLE_CHUNKS chunks, and words longer than LONG_WORD characters are not kept.
+back by position with numpy gathers.  Nothing is shuffled and no table grows with the corpus: a task keeps up
+to TABLE_CHUNKS chunks of at most LONG_WORD characters, and segments the others once for each block of text.
 
 Defined results: null text is the empty text, which has no ids; repeated rows are encoded each; an empty
 table gives an empty result; columns other than id and text are ignored.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.common import read_table, texts
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
-LONG_WORD = 256
+TABLE_CHUNKS = 120_000
+LONG_WORD = 64
 #: Characters of text joined back at once.
 BLOCK_CHARS = 1 << 20
 
@@ -46,9 +46,6 @@ class ChunkTable:
 
     def __init__(self, sp):
         self.sp = sp
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
         self.offsets = np.zeros(1 << 14, np.int64)
@@ -69,6 +66,11 @@ class ChunkTable:
         self.offsets[n + 1 : n + 1 + len(ids)] = end + np.cumsum(lengths)
         self.number.update(zip(chunks, range(n, n + len(ids)), strict=True))
 
+    def forget(self, chunks: list[str]) -> None:
+        """Drop the chunks that were added last."""
+        for c in chunks:
+            del self.number[c]
+
     def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a sequence of chunks, by position, and how many each chunk has."""
         begin = self.offsets[numbers]
@@ -105,18 +107,17 @@ def _encode_block(table: ChunkTable, block: list[str]) -> tuple[np.ndarray, np.n
     """Ids of the texts, one after another, and the number of ids of each text."""
     words = [marked_words(t) for t in block]
     new = set().union(*words).difference(table.number)
-    if len(table.number) + len(new) > TABLE_CHUNKS and table.number:
-        table.clear()
-        new = set().union(*words)
-    if new:
-        table.add(list(new))
+    kept = [w for w in new if len(w) <= LONG_WORD][: max(0, TABLE_CHUNKS - len(table.number))]
+    passing = list(new.difference(kept))
+    for some in (kept, passing):
+        if some:
+            table.add(some)
     get = table.number.__getitem__
     counts = np.fromiter(map(len, words), np.int64, len(words))
     numbers = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(counts.sum()))
     ids, lengths = table.join(numbers)
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    if len(table.number) > TABLE_CHUNKS or any(len(w) > LONG_WORD for w in new):
-        table.clear()
+    table.forget(passing)
     return ids, ends
 
 
@@ -133,46 +134,47 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
         yield ids.slice(start), block
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every document, as the library's encode(text) gives them."""
+def _encode(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _table(model)
+    for batch in batches:
+        for doc_ids, block in _blocks(batch):
+            ids, ends = _encode_block(table, block)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model)
-        for batch in batches:
-            for doc_ids, block in _blocks(batch):
-                ids, ends = _encode_block(table, block)
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+def _rows_of(column: pa.ListArray) -> Iterator[list[int]]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield flat[a:b].tolist()
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids and the text that the library's decode(ids) gives."""
+def _decode(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sp = load_model(model)
+    for batch in batches:
+        yield batch.append_column("text", pa.array([sp.decode(x) for x in _rows_of(batch.column(1))], pa.string()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = load_model(model)
-        for batch in batches:
-            ids = batch.column(1)
-            yield batch.append_column("text", pa.array([sp.decode(x.values.to_pylist()) for x in ids], pa.string()))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, of_ids, of_text = [], [], []
+        for ids, text in zip(_rows_of(batch.column(1)), batch.column(2), strict=True):
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            of_text.append(hashlib.sha256(text.as_buffer()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], [c.split()[0] for c in DIGEST.split(", ")])
 
 
-DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int) of every document, as the library's encode(text) gives them."""
+    return texts(docs, id_col, text_col).mapInArrow(lambda batches: _encode(model, batches), "doc_id bigint, ids array<int>")
+
 
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids and the text that the library's decode(ids) gives."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decode(model, batches), "doc_id bigint, ids array<int>, text string")
 
-def digests(decoded: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for ids, text in zip(batch.column(1), batch.column(2), strict=True):
-                values = ids.values.to_pylist()
-                n.append(len(values))
-                of_ids.append(hashlib.sha256(",".join(map(str, values)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(text.as_buffer()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], [c.split()[0] for c in DIGEST.split(", ")])
 
-    return decoded.mapInArrow(run, DIGEST)
+DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def model_path() -> str:
@@ -182,8 +184,9 @@ def model_path() -> str:
 
 
 def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Encode, decode and digest in one pass: the ids never leave the Python worker."""
     model = model or model_path()
-    return digests(decode(encode(docs, model), model))
+    return texts(docs).mapInArrow(lambda batches: _digest(_decode(model, _encode(model, batches))), DIGEST)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

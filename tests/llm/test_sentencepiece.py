@@ -33,6 +33,14 @@ def test_table_is_bounded(monkeypatch):
         assert len(table.number) <= 5
 
 
+def test_encode_then_decode_as_frames(spark):
+    model = S.model_path()
+    sp = S.load_model(model)
+    df = spark.createDataFrame([(1, " a  b "), (2, None), (3, "x▁y")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids"], r["text"]) for r in S.decode(S.encode(df, model), model).collect()}
+    assert got == {d: (ids := sp.encode(t), sp.decode(ids)) for d, t in ((1, " a  b "), (2, ""), (3, "x▁y"))}
+
+
 def test_empty_table_and_whole_query(spark, sf_dir):
     assert S.encode_decode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     sp = S.load_model(S.model_path())
