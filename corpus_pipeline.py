@@ -1,27 +1,69 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
+
+Every stage works on all that its predecessor kept, and its decisions take effect: documents that the quality
+classifier rejects go, one document of each group of equal texts and of each near-duplicate component stays,
+documents that hold a benchmark item go, and what is left is encoded and decoded.  All stages but the last
+return the columns of documents.  Rows with a null doc_id are judged by their own text where a stage judges
+texts, and stay where a stage compares ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm import decontamination, quality_classifier
 from auditlake.llm.common import new_path, read_table
 from auditlake.llm.exact_dedup import exact_dedup
+from auditlake.llm.near_dedup import near_dedup
+from auditlake.llm.sentencepiece_codec import encode_decode
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Score every whole text and keep what reaches the classifier's threshold."""
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    return docs.where(quality_classifier.score_column(model, F.col("text")) >= quality_classifier.THRESHOLD)
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the ids that are not kept; Catalyst broadcasts the list only when it is small."""
+    return docs.join(decided.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of equal texts."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of texts alike by 0.8 on five-word shingles."""
+    return _without(docs, near_dedup(docs))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that cover a benchmark item."""
+    return decontamination.annotate(docs, read_table(spark, sf_dir, "benchmark")).where(F.size("_hits") == 0).select(docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    return encode_decode(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("sentencepiece", encode_texts),
+]
 
-#: The classifier is fitted, so SQL cannot give the rows; tests compare run() with a brute-force version.
+#: The classifier is fitted, so SQL cannot give the rows; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; the last one's rows."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
