@@ -35,6 +35,7 @@ SPREAD = 64
 HOT = 4096
 #: Text of one document bucket, and anchors' share of one anchor bucket.
 DOC_BUCKET_BYTES = 8 << 20
+LEAST_BUCKET_BYTES = 256 << 10
 BLOCK_BYTES = 1 << 20
 PACKED = "kind int, bucket int, packed binary"
 R, FINE, WINDOWS, LOCAL = 1, 2, 3, 4
@@ -380,7 +381,9 @@ def remove_repeats(docs: DataFrame, make_task: Callable[[int, int], Task], kind,
     spark = rows.sparkSession
     size = min(plan_bytes(rows), 1 << 46)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    task = make_task(_prime(max(2 * parts, size // (8 << 20)) + 1), _prime(max(2 * parts, 2 * size // DOC_BUCKET_BYTES) + 1))
+    # By size; on small inputs so many that all tasks have work, but none so small that packing gains nothing.
+    least = min(2 * parts, size // LEAST_BUCKET_BYTES)
+    task = make_task(_prime(max(least, size // (8 << 20)) + 2), _prime(max(least, 2 * size // DOC_BUCKET_BYTES) + 2))
     dealt = rows.select("key", "doc_id", "text", doc_bucket_column(F.col("key"), task.doc_buckets).alias("bucket"))
     mapped = rows.select("key", "text").mapInArrow(lambda batches: _batches(_map(task, batches)), PACKED)
 
