@@ -1,14 +1,20 @@
 """Near-dedup with SetSketch registers.
 
-A document's set is its distinct 4-word shingles (64-bit fingerprints).  Equal sets form a class first, and one
+A document's set is its distinct word shingles (64-bit fingerprints).  Equal sets form a class first, and one
 representative a class goes on.  A register holds the truncated, exponentially spaced minimum
 K = floor(1 - log_b(min Exp)); registers merge by maximum.  Bands of registers put likely partners into
-buckets.  In rounds, every bucket names a centre by a random priority and its members of other components
-are paired with it; pairs are estimated by the joint likelihood of their registers, and what passes (well
-below the threshold, so nothing is lost to the estimate's error) is confirmed on full shingle sets.  When few
-pairs of different components are left in all buckets together, all of them are tested, so no link between
-different texts that share a bucket is lost and no bucket is ever expanded while it still holds one large
-group.  Components are found by alternating large-star and small-star steps; nothing is collected.
+buckets.
+
+No bucket is expanded into pairs.  Its most central member (the one with the largest buckets) is the centre;
+the joint likelihood of the registers estimates every member's similarity to it.  Members that are not far
+from the centre are compared with it on full shingle sets, which confirms links and leaves each one's
+difference to the centre.  Two members x, y of which y is not linked with the centre can only be alike if
+they share a good part of x's difference, so a join on the rarest part of the differences finds every such
+pair, and the differences give its exact similarity.  All of that is linear in the buckets' rows.  What a
+document shares with a centre far from it is under half of its shingles, so of the ten bands that an alike
+pair shares on average only one in thirty rests on such shingles alone, and the pair meets in the others: to
+be missed it would have to share only those.  Components are found by alternating large-star and small-star
+steps; nothing is collected.
 
 Defined results: null or blank texts have an empty set, are linked with nothing and are their own component;
 repeated rows of one id are one node; null ids take part in no link and keep component null; an empty table
@@ -32,11 +38,9 @@ SHINGLE = 5  # words, unless a contract says otherwise
 THRESHOLD = 80  # per cent
 REGISTERS, BAND = 160, 5
 BASE, RATE = 1.002, 20.0
-#: Estimates below this are not confirmed: over four standard errors under a similarity of 0.8.
-ESTIMATE_LEAST = 0.66
+#: Estimated similarity to a centre under which a member is far from it.
+FAR = 0.3
 BLOCK_BYTES = 1 << 20
-#: Open pairs for each node up to which all are tested at once.
-OPEN_PER_NODE = 4
 _RNG = np.random.default_rng(8)
 _FACTOR = _RNG.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, REGISTERS, np.uint64)
@@ -56,10 +60,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
         if b - a >= size:
             out.append(np.unique(h[a : b - size + 1]))
         elif b > a:  # the whole sequence as one, told from full shingles by its length
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for k in range(a, b):
                 whole = whole * np.uint64(_BIG) + words[k]
-            out.append(W.mix(np.array([whole])))
+            out.append(W.mix(whole))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -152,11 +156,11 @@ def estimate_column(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> p
     return pa.array(np.concatenate(parts))
 
 
-def confirm_column(size: int, threshold: int, a: F.Column, b: F.Column) -> F.Column:
-    """True where two texts' full shingle sets are similar enough."""
+def difference_column(size: int, a: F.Column, b: F.Column) -> F.Column:
+    """Set sizes of two texts and the shingles that only one of them has."""
 
-    @F.arrow_udf("boolean")
-    def confirm(left: pa.Array, right: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<n_a:bigint,n_b:bigint,delta:array<bigint>>")
+    def difference(left: pa.Array, right: pa.Array) -> pa.Array:
         known: dict[bytes, np.ndarray] = {}
 
         def set_of(text: bytes) -> np.ndarray:
@@ -166,14 +170,17 @@ def confirm_column(size: int, threshold: int, a: F.Column, b: F.Column) -> F.Col
                 known[text] = shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
             return known[text]
 
-        out = []
+        n_a, n_b, deltas = [], [], []
         for x, y in zip(left, right, strict=True):
             p, q = set_of(x.as_py().encode()), set_of(y.as_py().encode())
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both > 0 and 100 * both >= threshold * (len(p) + len(q) - both))
-        return pa.array(out, pa.bool_())
+            n_a.append(len(p))
+            n_b.append(len(q))
+            deltas.append(np.setxor1d(p, q, assume_unique=True).view(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(d) for d in deltas])]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.int64), *deltas])
+        return pa.StructArray.from_arrays([pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n_a", "n_b", "delta"])
 
-    return confirm(a, b)
+    return difference(a, b)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
@@ -194,24 +201,70 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
 
 
-def _similar_size(threshold: int) -> F.Column:
-    return 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, size: int, threshold: int, best_only: bool) -> tuple[DataFrame, DataFrame]:
-    """Of pairs (a, b): those tested, and those confirmed.  best_only: for each a only its likeliest b."""
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, e): pairs with their estimated similarity."""
     regs = nodes.select("rid", "regs", "n")
-    sides = pairs.join(regs.select(F.col("rid").alias("a"), F.col("regs").alias("r_a"), F.col("n").alias("n_a")), "a").join(
-        regs.select(F.col("rid").alias("b"), F.col("regs").alias("r_b"), F.col("n").alias("n_b")), "b"
+    sides = pairs.join(regs.select(F.col("rid").alias("a"), F.col("regs").alias("r_a"), F.col("n").alias("s_a")), "a").join(
+        regs.select(F.col("rid").alias("b"), F.col("regs").alias("r_b"), F.col("n").alias("s_b")), "b"
     )
-    likely = sides.where(_similar_size(threshold)).select("a", "b", estimate_column("r_a", "r_b", "n_a", "n_b").alias("e")).where(F.col("e") >= ESTIMATE_LEAST)
-    if best_only:
-        likely = likely.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-    tested = stored(likely.select("a", "b").distinct(), "near-tested")
-    with_a = tested.join(bodies.select(F.col("rid").alias("a"), F.col("text").alias("t_a")), "a")
+    return sides.select("a", "b", estimate_column("r_a", "r_b", "s_a", "s_b").alias("e"))
+
+
+def _compared(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
+    """(a, b, n_a, n_b, delta) of pairs, on full sets."""
+    with_a = pairs.select("a", "b").join(bodies.select(F.col("rid").alias("a"), F.col("text").alias("t_a")), "a")
     with_b = with_a.join(bodies.select(F.col("rid").alias("b"), F.col("text").alias("t_b")), "b")
-    linked = with_b.where(confirm_column(size, threshold, F.col("t_a"), F.col("t_b"))).select("a", "b").distinct()
-    return tested, stored(linked, "near-links")
+    return with_b.select("a", "b", difference_column(size, F.col("t_a"), F.col("t_b")).alias("d")).select("a", "b", "d.n_a", "d.n_b", "d.delta")
+
+
+def _alike(threshold: int, n_a: F.Column, n_b: F.Column, apart: F.Column) -> F.Column:
+    """100 * intersection >= threshold * union, from set sizes and the size of the symmetric difference."""
+    return (n_a + n_b > apart) & (100 * (n_a + n_b - apart) >= threshold * (n_a + n_b + apart))
+
+
+def star_differences(buckets: DataFrame, nodes: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
+    """(a, b, n_a, n_b, delta) of members a and the centres b of their buckets, far members left out."""
+    heavy = buckets.groupBy("band").agg(F.log(F.count(F.lit(1)).cast("double")).alias("w"))
+    weight = buckets.join(heavy, "band").groupBy("rid").agg(F.sum("w").alias("w"))
+    placed = stored(buckets.join(weight, "rid").select("band", "rid", F.struct((-F.col("w")).alias("w"), F.xxhash64("rid").alias("h"), "rid").alias("rank")), "near-placed")
+    centres = placed.groupBy("band").agg(F.min("rank").alias("c"))
+    pairs = placed.join(centres.select("band", F.col("c.rid").alias("b")), "band").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
+    likely = _estimated(pairs, nodes).where(F.col("e") >= FAR)
+    return stored(_compared(likely, bodies, size), "near-differences")
+
+
+def beside_centres(compared: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of one centre's members that are alike though one of them is not linked with the centre.
+
+    With t the threshold and tau = (1 - t) / (1 + t), sets are alike when their symmetric difference is at most
+    tau times their sizes' sum, so x and y must share (|dx| + |dy| - tau (|x| + |y|)) / 2 elements of their
+    differences.  As |dy| > tau (|y| + |c|), that is more than (|dx| + tau (|c| - |x|)) / 2, and one of the shared
+    elements is among x's rarest ones; a shared element must also stand early enough in both orders.
+    """
+    tau = (100 - threshold) / (100 + threshold)
+    rows = compared.select(F.col("a").alias("rid"), F.col("b").alias("c"), F.col("n_a").alias("n"), F.col("n_b").alias("n_c"), F.size("delta").alias("d"), "delta")
+    rows = rows.withColumn("far", ~_alike(threshold, F.col("n"), F.col("n_c"), F.col("d")))
+    rows = stored(rows.join(rows.where("far").select("c").distinct(), "c", "left_semi"), "near-beside")
+    each = rows.select("c", "rid", F.explode("delta").alias("el"))
+    often = each.groupBy("c", "el").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = each.join(often, ["c", "el"]).groupBy("c", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "el"))).alias("els"))
+    ranked = stored(order.join(rows.drop("delta"), ["c", "rid"]), "near-ranked")
+    # Elements that only one member has come first in its order; they match nothing but count as places.
+    place = F.col("d") - F.size("els") + F.col("i") + 1
+    placed = ranked.select("c", "rid", "n", "n_c", "d", "far", "els", F.posexplode("els").alias("i", "e")).select("c", "rid", "n", "n_c", "d", "far", place.alias("p"), F.col("e.el").alias("el"))
+    least = (F.col("d") + tau * (F.col("n_c") - F.col("n"))) / 2
+    x = placed.where(F.col("p") <= F.col("d") - least + 1 + 1e-9).select("c", "el", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("d").alias("d_x"), F.col("p").alias("p_x"))
+    y = placed.where("far").select("c", "el", F.col("rid").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y"), F.col("p").alias("p_y"))
+    need = (F.col("d_x") + F.col("d_y") - tau * (F.col("n_x") + F.col("n_y"))) / 2
+    early = F.least(F.col("d_x") - F.col("p_x"), F.col("d_y") - F.col("p_y")) + 1 >= need - 1e-9
+    met = x.join(y, (x["c"] == y["c"]) & (x["el"] == y["el"]) & (F.col("x") != F.col("y")) & early)
+    pairs = met.select(x["c"], "x", "y").distinct()
+    delta = rows.select("c", "rid", "n", "delta")
+    both = pairs.join(delta.select("c", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("delta").alias("s_x")), ["c", "x"]).join(
+        delta.select("c", F.col("rid").alias("y"), F.col("n").alias("n_y"), F.col("delta").alias("s_y")), ["c", "y"]
+    )
+    apart = F.size("s_x") + F.size("s_y") - 2 * F.size(F.array_intersect("s_x", "s_y"))
+    return both.where(_alike(threshold, F.col("n_x"), F.col("n_y"), apart)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -229,46 +282,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bodies = stored(plain.withColumnRenamed("doc_id", "rid").join(in_buckets, "rid", "left_semi"), "near-bodies")
     nodes = stored(nodes.select("rid", "n", "regs").join(in_buckets, "rid", "left_semi"), "near-nodes")
 
-    links = label = tested = None
-    turn = idle = 0
-    while True:
-        placed = buckets.withColumn("comp", F.col("rid")) if label is None else buckets.join(label, F.col("rid") == F.col("node"), "left").select("band", "rid", F.coalesce("component", "rid").alias("comp"))
-        if turn:
-            sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-            split = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("n * n > squares")
-            placed = stored(placed.join(split.select("band"), "band", "left_semi"), "near-open")
-            opened = split.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
-            if not opened:
-                break
-            last = opened <= OPEN_PER_NODE * buckets.count() or idle >= 3
-        else:
-            last = False
-        if last:
-            other = placed.select("band", F.col("rid").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = placed.withColumnRenamed("rid", "a").join(other, "band").where("a > b and comp <> comp_b").select("a", "b").distinct()
-        else:
-            # One priority for all buckets in the first turn, so near copies meet few centres; then one a bucket.
-            first = F.xxhash64("rid") if not turn else F.xxhash64("rid", "band", F.lit(turn))
-            centre = placed.groupBy("band").agg(F.min(F.struct(first.alias("p"), "rid", "comp")).alias("c"))
-            met = placed.join(centre.select("band", F.col("c.rid").alias("b"), F.col("c.comp").alias("comp_b")), "band").where("comp <> comp_b")
-            pairs = met.select(F.col("rid").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        now_tested, found = _confirmed(pairs, nodes, bodies, size, threshold, best_only=not turn)
-        tested = now_tested if tested is None else tested.unionByName(now_tested)
-        n_found = found.count()
-        idle = 0 if n_found else idle + 1
-        if n_found:
-            links = found if links is None else links.unionByName(found)
-            label = stored(components(links), "near-labels")
-        if last:
-            break
-        turn += 1
+    compared = star_differences(buckets, nodes, bodies, size)
+    links = compared.where(_alike(threshold, F.col("n_a"), F.col("n_b"), F.size("delta"))).select("a", "b")
+    label = stored(components(links.unionByName(beside_centres(compared, threshold))), "near-labels")
     named = member.withColumnRenamed("doc_id", "id")
-    if label is not None:
-        named = named.join(label, F.col("rid") == F.col("node"), "left").select("id", F.coalesce("component", "rid").alias("found"))
-    else:
-        named = named.select("id", F.col("rid").alias("found"))
+    named = named.join(label, F.col("rid") == F.col("node"), "left").select("id", F.coalesce("component", "rid").alias("found"))
     named = named.groupBy("id").agg(F.min("found").alias("found"))
     out = sketched.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("found", "doc_id")
