@@ -87,8 +87,9 @@ def agent_tree(agents: DataFrame) -> DataFrame:
     up = closure(agents, "agent_id", "parent_id")
     line = up.groupBy(F.col("node").alias("agent_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor"))).alias("line"))
     rows = agents.select("agent_id").join(line, "agent_id", "left")
-    above = F.coalesce(F.transform("line", lambda x: x["ancestor"]), F.array().cast("array<string>"))
-    return rows.select("agent_id", F.coalesce(F.get(above, 0), F.col("agent_id").cast("string")).alias("root"), F.concat(above, F.array(F.col("agent_id").cast("string"))).alias("path"), F.size(above).alias("depth"))
+    kind = agents.schema["agent_id"].dataType.simpleString()
+    above = F.coalesce(F.transform("line", lambda x: x["ancestor"].cast(kind)), F.array().cast(f"array<{kind}>"))
+    return rows.select("agent_id", F.coalesce(F.get(above, 0), F.col("agent_id")).alias("root"), F.concat(above, F.array("agent_id")).alias("path"), F.size(above).alias("depth"))
 
 
 def stop_set(agents: DataFrame, agent_id) -> DataFrame:
