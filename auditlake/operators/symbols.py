@@ -153,7 +153,8 @@ def lexed_symbols(text: str, language: str) -> list[dict]:
     return [s for _, s in sorted(out, key=lambda x: x[0])]
 
 
-_FIELD = re.compile(r"((?:\b(?:public|private|protected|static|final|transient|volatile)\s+)*)([\w.<>\[\],?\s]+?)\s+(\w+)\s*(?:=[^;]*)?;")
+_FIELD = re.compile(r"(?<![\w.])((?:\b(?:public|private|protected|static|final|transient|volatile)\s+)*)(\w[\w.<>\[\],?\s]*?)\s+(\w+)\s*(?:=[^;]*)?;")
+_NOT_TYPES = frozenset("return package import throw throws new class interface enum record extends implements".split())
 
 
 def java_fields(code: str, text: str, opener: int, end: int, line) -> list[dict]:
@@ -171,7 +172,7 @@ def java_fields(code: str, text: str, opener: int, end: int, line) -> list[dict]
     flat, out = "".join(body), []
     for m in _FIELD.finditer(flat):
         kind = " ".join(m[2].split())
-        if "(" in m[0] or not kind or kind.split()[0] in ("return", "package", "import", "throw", "new"):
+        if "(" in m[0].split("=")[0] or not kind or _NOT_TYPES & set(kind.split()):
             continue
         begin = opener + 1 + m.start() + len(m[0]) - len(m[0].lstrip())
         out.append({"name": m[3], "field_type": kind, "start_line": line(begin), "end_line": line(opener + m.end()), "modifiers": m[1].split()})

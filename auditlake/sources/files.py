@@ -19,7 +19,10 @@ MAX_UPLOAD = 1 << 30
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """files(path, ext, content, size, mtime): all files below root that hold UTF-8 text; path is relative to root."""
+    """files(path, ext, content, size, mtime): all files below root that hold UTF-8 text; path is relative to root.
+
+    Files without content hold nothing to scan and are left out by the file source.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), "^(?:file:/+)?/?" + _quoted(base.removeprefix("file://").lstrip("/")) + "/", "")
