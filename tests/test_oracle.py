@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from auditlake.plans import registry
+from auditlake.plans import coverage, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
