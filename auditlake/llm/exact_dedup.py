@@ -99,7 +99,7 @@ def _place(entries: DataFrame, directory: Directory) -> DataFrame:
     return entries.withColumn("slot", slot).join(slots, "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 18, owners: int | None = None) -> ExactIndex:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, owners: int | None = None) -> ExactIndex:
     """Collapse equal texts and write the index to the shared folder."""
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -120,7 +120,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ExactIndex(path, directory, spark.read.schema(placed.schema).parquet(path))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 18) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     index = build_index(docs, id_col, text_col, capacity)
     probe = texts(docs, id_col, text_col).select("doc_id", F.sha2(_normal(F.col("text")), 256).alias("text_sha256"))
