@@ -106,24 +106,27 @@ def tree_status(agents: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) with the least reachable node as the component, by alternating star contractions."""
+    """(node, component) with the least reachable node as the component, by alternating star contractions.
+
+    Every step is grouped minima and equi-joins over edges, so a hub's edges spread over tasks by the join's
+    skew handling; steps are logarithmic in the longest path.  A loop edge names a node that may stand alone.
+    """
     now = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "components")
-    lone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         now = stored(small.distinct(), "components")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 30))).first())
+        state = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 30)), F.lit(0))).first())
         if state == before:
             break
         before = state
     named = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-    alone = lone.distinct().join(named, "node", "left_anti").withColumn("component", F.col("node"))
-    return named.unionByName(alone)
+    lone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
+    return named.unionByName(lone.join(named, "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def inheritance_edges(symbols: DataFrame) -> DataFrame:
