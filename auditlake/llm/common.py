@@ -1,43 +1,16 @@
-"""Helpers shared by the training-data operators: the shared folder, sizes and column hygiene."""
+"""Helpers shared by the training-data operators: sizes and column hygiene, and the shared folder's tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes 0x09-0x0D and 0x20: the only characters that the contracts count as white space.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="auditlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root, True)
-    return root.rstrip("/")
-
+from auditlake.plans.tables import new_path, shared_dir, stored
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; the file system drops it when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/auditlake/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+__all__ = ["SPACE_CLASS", "new_path", "plan_bytes", "read_table", "shared_dir", "stored", "texts"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes 0x09-0x0D and 0x20: the only characters that the contracts count as white space.
+SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -45,12 +18,6 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 48 << 20) -> int:
-    """How many hash buckets keep each one's share of df near bytes_each; follows the input."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(plan_bytes(df), 1 << 50) // bytes_each + 1)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) only, under fixed names, so other columns can't clash; null text counts as empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from auditlake.llm import wordcodes as W
 from auditlake.llm.common import read_table, stored, texts
+from auditlake.operators.graph import connected_components
 
 SHINGLE = 5  # words, unless a contract says otherwise
 THRESHOLD = 80  # per cent
@@ -183,24 +184,6 @@ def difference_column(size: int, a: F.Column, b: F.Column) -> F.Column:
     return difference(a, b)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of undirected edges (a, b): the smallest node that is reachable."""
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, "cc-edges")
-        state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 30)), F.lit(0))).first()
-        if tuple(state) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        seen = tuple(state)
-
-
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, e): pairs with their estimated similarity."""
     regs = nodes.select("rid", "regs", "n")
@@ -284,7 +267,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     compared = star_differences(buckets, nodes, bodies, size)
     links = compared.where(_alike(threshold, F.col("n_a"), F.col("n_b"), F.size("delta"))).select("a", "b")
-    label = stored(components(links.unionByName(beside_centres(compared, threshold))), "near-labels")
+    label = stored(connected_components(links.unionByName(beside_centres(compared, threshold))), "near-labels")
     named = member.withColumnRenamed("doc_id", "id")
     named = named.join(label, F.col("rid") == F.col("node"), "left").select("id", F.coalesce("component", "rid").alias("found"))
     named = named.groupBy("id").agg(F.min("found").alias("found"))

@@ -75,12 +75,6 @@ def test_empty_and_no_links(spark):
     check(spark, [(1, None), (2, "a b c d e f"), (3, "g h i j k")], 5)
 
 
-def test_components_chain(spark):
-    edges = [(i + 1, i) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (100, 101)]
-    got = dict(map(tuple, N.components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
-
-
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_registers_merge_and_estimate(similarity):
     rng = np.random.default_rng(1)
