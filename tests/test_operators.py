@@ -121,6 +121,13 @@ def test_tree_and_layout(spark):
     assert N.connected_components(spark.createDataFrame([("z", "z"), ("b", "a"), ("c", "b")], "a string, b string")).where("component = 'a'").count() == 3
 
 
+def test_long_chain_of_components(spark):
+    edges = [(i + 1, i) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (200, 200), (100, 101)]
+    got = dict(map(tuple, N.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100, 200: 200}
+    assert N.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
