@@ -43,7 +43,7 @@ def call_graph(edges: DataFrame, entry: str, depth: int = 3) -> tuple[DataFrame,
 def class_hierarchy(classes: DataFrame, name: str) -> DataFrame:
     """(relation, name, file_path, depth): indexed ancestors of a class, level by level, and its direct children."""
     spark = classes.sparkSession
-    known = classes.where("kind = 'Class'").select("name", "file_path", "parent_classes")
+    known = stored(classes.where("kind = 'Class'").select("name", "file_path", "parent_classes"), "hierarchy")
     ups = known.select(F.col("name").alias("child"), F.explode("parent_classes").alias("parent"))
     frontier = spark.createDataFrame([(name,)], "node string")
     visited, found, depth = frontier, None, 0

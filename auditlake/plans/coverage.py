@@ -211,9 +211,10 @@ def union_keys(spark, sf):
     return U.union_keys(I.table(spark, sf, "orders").withColumnRenamed("o_custkey", "k"), I.table(spark, sf, "customer").withColumnRenamed("c_custkey", "k"), "k")
 
 
-@query("except_keys", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("except_keys", "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 3)")
 def except_keys(spark, sf):
-    return U.except_keys(I.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), I.table(spark, sf, "orders").withColumnRenamed("o_custkey", "k"), "k")
+    taken = I.table(spark, sf, "lineitem").where("l_linenumber = 3").withColumnRenamed("l_partkey", "k")
+    return U.except_keys(I.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), taken, "k")
 
 
 @query("line_set_jaccard", "WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS l FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.l) = 0 OR len(b.l) = 0 THEN 0 ELSE len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) END, 6) AS j FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")

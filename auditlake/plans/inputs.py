@@ -51,7 +51,7 @@ SEQUENCED = f"SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY ts, id
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols made from parts: classes, interfaces, methods, functions and calls in 25 files."""
+    """Symbols made from parts: classes, interfaces, methods, functions and calls in 24 files."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     kind = F.element_at(F.array(*map(F.lit, ("Class", "Method", "MethodCall", "Function", "Interface"))), (k % 5 + 1).cast("int"))
@@ -59,15 +59,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (k * 7 % 400 + 1).cast("long")
     meta = F.when(k % 5 == 2, F.create_map(F.lit("callerMethod"), F.concat(F.lit("N"), (k * 3 % 211).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
     parents = F.when(k % 5 == 0, F.array(F.concat(F.lit("N"), (k * 5 % 211).cast("string")))).otherwise(F.array().cast("array<string>"))
-    file = F.concat(F.lit("src/m"), (k % 25).cast("string"), F.lit(".java"))
+    file = F.concat(F.lit("src/m"), (k % 24).cast("string"), F.lit(".java"))
     return p.select(name.alias("name"), kind.alias("kind"), file.alias("file_path"), start.alias("start_line"), (start + k % 60).alias("end_line"), F.concat(F.lit("void run() { "), F.lit("N"), (k * 11 % 211).cast("string"), F.lit("(x); }")).alias("code"),
                     parents.alias("parent_classes"), F.lit("pkg").alias("package"), meta.alias("metadata"), F.concat_ws(":", file, name, start.cast("string")).alias("id"), k.alias("pk"))
 
 
-SYMBOLS = """SELECT 'N'||(p_partkey%211) AS name, (['Class','Method','MethodCall','Function','Interface'])[CAST(p_partkey%5+1 AS INT)] AS kind, 'src/m'||(p_partkey%25)||'.java' AS file_path,
+SYMBOLS = """SELECT 'N'||(p_partkey%211) AS name, (['Class','Method','MethodCall','Function','Interface'])[CAST(p_partkey%5+1 AS INT)] AS kind, 'src/m'||(p_partkey%24)||'.java' AS file_path,
  CAST(p_partkey*7%400+1 AS BIGINT) AS start_line, CAST(p_partkey*7%400+1+p_partkey%60 AS BIGINT) AS end_line, 'void run() { N'||(p_partkey*11%211)||'(x); }' AS code,
  CASE WHEN p_partkey%5=0 THEN ['N'||(p_partkey*5%211)] ELSE CAST([] AS VARCHAR[]) END AS parent_classes, CASE WHEN p_partkey%5=2 THEN 'N'||(p_partkey*3%211) END AS caller,
- 'src/m'||(p_partkey%25)||'.java:N'||(p_partkey%211)||':'||(p_partkey*7%400+1) AS id, p_partkey AS pk FROM part"""
+ 'src/m'||(p_partkey%24)||'.java:N'||(p_partkey%211)||':'||(p_partkey*7%400+1) AS id, p_partkey AS pk FROM part"""
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:

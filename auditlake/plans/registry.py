@@ -57,9 +57,16 @@ def scan_lines_by_type(spark, sf):
     return X.scan_lines(I.files(spark, sf), DOCUMENT_PATTERNS)
 
 
-@query("scan_builtin_lines", f"WITH lines AS ({_LINES}) SELECT path AS file_path, line AS line_start, vuln_type FROM lines, (VALUES ('password', '(?i)password\\s*=\\s*[''\"][^''\"]+[''\"]'), ('api_key', '(?i)api_key\\s*=\\s*[''\"][^''\"]+[''\"]'), ('todo', 'TODO:')) v(vuln_type, p) WHERE regexp_matches(text, p)")
+_SEEDED = f"SELECT path, text, line FROM lines UNION ALL SELECT path, 'db_password = \"pw-' || doc_id || '\"', 0 FROM ({I.FILES}) WHERE doc_id % 10 = 3 UNION ALL SELECT path, 'x // TODO: API_KEY=\"k\"', 0 FROM ({I.FILES}) WHERE doc_id % 10 = 4"
+
+
+@query("scan_builtin_lines", f"WITH lines AS ({_LINES}) SELECT path AS file_path, CAST(CASE WHEN line = 0 THEN 1 ELSE line + CASE WHEN path IN (SELECT path FROM ({I.FILES}) WHERE doc_id % 10 IN (3, 4)) THEN 1 ELSE 0 END END AS BIGINT) AS line_start, vuln_type FROM ({_SEEDED}), (VALUES ('password', '(?i)password\\s*=\\s*[''\"][^''\"]+[''\"]'), ('api_key', '(?i)api_key\\s*=\\s*[''\"][^''\"]+[''\"]'), ('todo', 'TODO:')) v(vuln_type, p) WHERE regexp_matches(text, p)")
 def scan_builtin_lines(spark, sf):
-    return X.scan_lines(I.files(spark, sf)).select("file_path", "line_start", "vuln_type")
+    """The built-in patterns; a fifth of the files get a first line that holds one or two of them."""
+    k = F.col("doc_id")
+    first = F.when(k % 10 == 3, F.concat(F.lit('db_password = "pw-'), k.cast("string"), F.lit('"\n'))).when(k % 10 == 4, F.lit('x // TODO: API_KEY="k"\n')).otherwise("")
+    files = I.files(spark, sf).withColumn("content", F.concat(first, "content"))
+    return X.scan_lines(files).select("file_path", "line_start", "vuln_type")
 
 
 @query("findings_by_severity", f"WITH lines AS ({_LINES}), f AS ({_HITS}) SELECT s AS severity, CASE WHEN s = 'high' THEN (SELECT count(*) FROM f) ELSE 0 END AS n FROM (SELECT unnest(['critical','high','medium','low','info']) AS s)")
@@ -140,9 +147,9 @@ def walk_include_exclude(spark, sf):
     return SF.walk(I.files(spark, sf), ["src1"], (".md",)).select("path")
 
 
-@query("file_name_search", f"SELECT path FROM ({I.FILES}) WHERE contains(lower(string_split(path, '/')[-1]), '7.py')")
+@query("file_name_search", f"SELECT path FROM ({I.FILES}) WHERE contains(lower(string_split(path, '/')[-1]), '6.py')")
 def file_name_search(spark, sf):
-    return SF.search_names(I.files(spark, sf), "7.PY")
+    return SF.search_names(I.files(spark, sf), "6.PY")
 
 
 @query("read_one_file", f"SELECT path, content FROM ({I.FILES}) WHERE path = (SELECT min(path) FROM ({I.FILES}))")
@@ -515,9 +522,14 @@ def conversation_compress(spark, sf):
     return C.compress(I.table(spark, sf, "conversations"), 4).select("conv_id", "part", "turn", "role")
 
 
-@query("attack_surface", f"SELECT path AS file, 'file_operation' AS type, CAST(NULL AS VARCHAR) AS severity FROM ({I.FILES}) WHERE contains(path, 'io') OR contains(path, 'fs') OR contains(path, 'file')")
+def _surface_sql(kind: str, words: tuple[str, ...]) -> str:
+    severity = f"'{R.SURFACE_SEVERITIES[kind]}'" if kind in R.SURFACE_SEVERITIES else "CAST(NULL AS VARCHAR)"
+    return f"SELECT url AS file, '{kind}' AS type, {severity} AS severity FROM pages WHERE " + " OR ".join(f"contains(lower(url), '{w}')" for w in words)
+
+
+@query("attack_surface", " UNION ALL ".join(_surface_sql(k, w) for k, w in R.SURFACES.items()))
 def attack_surface(spark, sf):
-    return R.attack_surface(I.files(spark, sf))
+    return R.attack_surface(I.table(spark, sf, "pages"), "url")
 
 
 @query("tech_stack", "SELECT 'C++,Java,JavaScript,Python,Rust,TypeScript' AS languages, '' AS frameworks")
