@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.plans.tables import new_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "new_path", "plan_bytes", "read_table", "shared_dir", "stored", "texts"]
+__all__ = ["SPACE_CLASS", "bound_batches", "bounded_batches", "new_path", "plan_bytes", "read_table", "shared_dir", "stored", "texts"]
 
 #: Bytes 0x09-0x0D and 0x20: the only characters that the contracts count as white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+#: Spark's bounds of an Arrow batch, and the ones that whole texts are passed with.  A batch is held by the JVM
+#: (twice, while a buffer grows) and by the Python worker, for each running task.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """Tighten the session's Arrow bounds where they are wider; the settings before."""
+    before = {}
+    for key, most in ARROW_BOUNDS.items():
+        if (now := spark.conf.get(key, None)) is not None:
+            before[key] = now
+            value = int(now.rstrip("bB"))
+            spark.conf.set(key, str(most if value <= 0 else min(value, most)))
+    return before
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Tight Arrow bounds for the actions inside."""
+    before = bound_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for df, from file sizes (no job is run)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

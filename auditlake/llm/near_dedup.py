@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm import wordcodes as W
-from auditlake.llm.common import read_table, stored, texts
+from auditlake.llm.common import bounded_batches, read_table, stored, texts
 from auditlake.operators.graph import connected_components
 
 SHINGLE = 5  # words, unless a contract says otherwise
@@ -213,7 +213,9 @@ def star_differences(buckets: DataFrame, nodes: DataFrame, bodies: DataFrame, si
     centres = placed.groupBy("band").agg(F.min("rank").alias("c"))
     pairs = placed.join(centres.select("band", F.col("c.rid").alias("b")), "band").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
     likely = _estimated(pairs, nodes).where(F.col("e") >= FAR)
-    return stored(_compared(likely, bodies, size), "near-differences")
+    likely = stored(likely.select("a", "b"), "near-likely")
+    with bounded_batches(buckets.sparkSession):
+        return stored(_compared(likely, bodies, size), "near-differences")
 
 
 def beside_centres(compared: DataFrame, threshold: int) -> DataFrame:
@@ -253,7 +255,8 @@ def beside_centres(compared: DataFrame, threshold: int) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     plain = texts(docs, id_col, text_col)
-    sketched = stored(sketches(plain, size), "near-sketches")
+    with bounded_batches(docs.sparkSession):
+        sketched = stored(sketches(plain, size), "near-sketches")
     classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rid")).where("rid is not null")
     member = stored(sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rid"), "near-members")
     heads = member.where("doc_id = rid").select("rid").distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import read_table
+from auditlake.llm.common import bounded_batches, read_table
 
 SAMPLE_ROWS = 12_000
 STEPS = 800
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     # Broadcast: at most 2 * sample_rows ids.
     found = docs.select(F.col("doc_id").cast("long").alias("sample_id"), "text").join(F.broadcast(chosen), "sample_id")
-    rows = found.select("positive", featurise(F.col("text")).alias("x")).toArrow()
+    with bounded_batches(docs.sparkSession):
+        rows = found.select("positive", featurise(F.col("text")).alias("x")).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, N_FEATURES)
     positive = np.array(rows["positive"].to_pylist(), bool)
     x, positive = (a[np.lexsort((*x.T, positive))] for a in (x, positive))  # row order does not matter

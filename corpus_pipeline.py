@@ -4,7 +4,8 @@ Every stage works on all that its predecessor kept, and its decisions take effec
 classifier rejects go, one document of each group of equal texts and of each near-duplicate component stays,
 documents that hold a benchmark item go, and what is left is encoded and decoded.  All stages but the last
 return the columns of documents.  Rows with a null doc_id are judged by their own text where a stage judges
-texts, and stay where a stage compares ids.
+texts, and stay where a stage compares ids.  The stages tighten the session's bounds of an Arrow batch, since
+they run after each other in one set of executors.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import decontamination, quality_classifier
-from auditlake.llm.common import new_path, read_table
+from auditlake.llm.common import bound_batches, new_path, read_table
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.near_dedup import near_dedup
 from auditlake.llm.sentencepiece_codec import encode_decode
@@ -21,6 +22,7 @@ from auditlake.llm.sentencepiece_codec import encode_decode
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Score every whole text and keep what reaches the classifier's threshold."""
+    bound_batches(spark)
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
     return docs.where(quality_classifier.score_column(model, F.col("text")) >= quality_classifier.THRESHOLD)
 
@@ -42,11 +44,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that cover a benchmark item."""
+    bound_batches(spark)
     return decontamination.annotate(docs, read_table(spark, sf_dir, "benchmark")).where(F.size("_hits") == 0).select(docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
+    bound_batches(spark)
     return encode_decode(docs)
 
 
