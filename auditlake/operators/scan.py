@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,21 @@ def scan_all(scanners: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scanners)
 
 
+class Scanners:
+    """Named scanners, each a function from a file table to findings; a scan is the union of what they find."""
+
+    def __init__(self, **scanners: Callable[[DataFrame], DataFrame]):
+        self.scanners = dict(scanners)
+
+    def register(self, name: str, scanner: Callable[[DataFrame], DataFrame]) -> None:
+        self.scanners[name] = scanner
+
+    def scan(self, files: DataFrame) -> DataFrame:
+        if not self.scanners:
+            raise ValueError("no scanner is registered")
+        return with_finding_id(scan_all([f(files) for f in self.scanners.values()]))
+
+
 def with_finding_id(findings: DataFrame) -> DataFrame:
     """A content id, so a repeated scan finds the same ids."""
     return findings.withColumn("finding_id", S.content_id(*(F.col(c) for c in ("file_path", "line_start", "line_end", "detector", "vuln_type"))))
@@ -148,4 +164,4 @@ def scan_report(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, files: DataFrame, rules: list[dict]) -> DataFrame:
     """Rule findings and built-in line findings of a file table, with ids."""
-    return with_finding_id(scan_all([scan_content(files, rules), scan_lines(files)]))
+    return Scanners(rules=lambda f: scan_content(f, rules), lines=scan_lines).scan(files)

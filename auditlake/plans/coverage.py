@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalar as S
+from auditlake.functions import sql as SQL
 from auditlake.operators import aggregates as G
 from auditlake.operators import conversation as C
 from auditlake.operators import diff as D
@@ -17,7 +18,8 @@ from auditlake.operators import sets as U
 from auditlake.operators import vectors as V
 from auditlake.operators import windows as W
 from auditlake.plans import inputs as I  # noqa: E741
-from auditlake.plans.registry import query
+from auditlake.plans.registry import ORACLES, query
+from auditlake.plans.tables import new_path
 from auditlake.sources import files as SF
 from auditlake.sources.rules import rule_table
 from auditlake.streaming import events as E
@@ -343,3 +345,70 @@ def events_expired(spark, sf):
 @query("events_deduplicated", "SELECT user_id AS audit_id, event_type FROM events GROUP BY ALL")
 def events_deduplicated(spark, sf):
     return I.events(spark, sf).select("audit_id", "event_type").dropDuplicates()
+
+
+# --- streams: the batch results from a file stream, written through a committed sink ----------------
+
+
+def _stream(spark, sf):
+    """The events table as a stream of files: a file source watches a folder, so the rows are put into one first."""
+    path = new_path(spark, "stream-in")
+    e = I.table(spark, sf, "events")
+    e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("audit_id"), "event_type", F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("sequence")).write.parquet(path)
+    return E.read_events(spark, path, "id string, audit_id string, event_type string, timestamp timestamp, sequence bigint")
+
+
+def _drained(df, name):
+    """The rows that a stream appends until its source is drained."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    q = E.publish(df, path, new_path(spark, f"{name}-offsets"))
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("stream_sequence", "SELECT CAST(event_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS sequence FROM events")
+def stream_sequence(spark, sf):
+    """Numbers inside each audit, held as state of the stream."""
+    return _drained(E.sequenced(_stream(spark, sf)), "stream-sequence").select("id", "sequence")
+
+
+@query("stream_resume", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE user_id = 5 AND event_id > 100 AND event_type IN ('view', 'click')")
+def stream_resume(spark, sf):
+    return _drained(E.resume(_stream(spark, sf), "5", 100, ["view", "click"]), "stream-resume").select("id")
+
+
+@query("stream_unique", "SELECT user_id || ':' || event_type AS k, count(*) AS n FROM events GROUP BY 1")
+def stream_unique(spark, sf):
+    """Every event once, though the stream holds each twice."""
+    s = _stream(spark, sf)
+    rows = _drained(E.unique(s.unionByName(s), "30 days"), "stream-unique")
+    return rows.groupBy(F.concat_ws(":", "audit_id", "event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_upsert", "SELECT CAST(user_id AS VARCHAR) AS audit_id, event_id % 20 AS sequence, CAST(max(event_id) AS VARCHAR) AS id FROM events GROUP BY 1, 2")
+def stream_upsert(spark, sf):
+    """Batches merged into a table on (audit_id, sequence); the latest event of a place stays."""
+    path = new_path(spark, "stream-upsert")
+    s = _stream(spark, sf).withColumn("timestamp", F.timestamp_seconds(F.col("sequence"))).withColumn("sequence", F.col("sequence") % 20)
+    q = s.writeStream.foreachBatch(E.upsert_sink(path)).option("checkpointLocation", new_path(spark, "stream-upsert-offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return E.version(spark, path, q.lastProgress["batchId"]).select("audit_id", "sequence", "id")
+
+
+# --- functions of SQL text -------------------------------------------------------------------------
+
+
+@query("sql_table_function", ORACLES["extracted_symbol_stats"])
+def sql_table_function(spark, sf):
+    """The symbol extractor as a lateral table function."""
+    SQL.register(spark)
+    source = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(":\n    def run(self):\n        self.queue.put(1)\n"))
+    files = I.files(spark, sf).select(F.concat("path", F.lit(".py")).alias("path"), source.alias("content"))
+    return spark.sql("SELECT coalesce(s.kind, 'total') AS kind, count(*) AS n FROM {files} f, LATERAL extract_symbols(f.path, f.content) s GROUP BY ROLLUP (s.kind)", files=files)
+
+
+@query("sql_scalar_functions", f"SELECT finding_id, CASE lower(severity) WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 WHEN 'info' THEN 5 ELSE 6 END AS rank, 'py' AS ext FROM ({I.FINDINGS})")
+def sql_scalar_functions(spark, sf):
+    SQL.register(spark)
+    return spark.sql("SELECT finding_id, severity_rank(severity) AS rank, file_extension(file_path) AS ext FROM {f}", f=I.findings(spark, sf))

@@ -302,3 +302,23 @@ def test_filters(spark):
     assert [r["highlighted"] for r in P.highlighted(nodes, "FOO").collect()] == [True, True, False]
     paths = spark.createDataFrame([("src/a.py",), ("b+c.js",)], "p string")
     assert [paths.where(P.path_matches(F.col("p"), x)).count() for x in ("src/*.py", "b+*", "a.p", "*")] == [1, 1, 1, 2]
+
+
+def test_scanner_registry(spark):
+    df = files(spark, ("a.py", "TODO: x\npassword = 'abc'"))
+    scanners = X.Scanners(lines=X.scan_lines)
+    scanners.register("rules", lambda f: X.scan_content(f, PASSWORD))
+    found = scanners.scan(df)
+    assert Counter(r["detector"] for r in found.collect()) == {"RegexScanner": 2, "RegexRule:no-hardcoded-passwords": 1}
+    with pytest.raises(ValueError):
+        X.Scanners().scan(df)
+
+
+def test_sql_functions(spark):
+    from auditlake.functions import sql
+
+    sql.register(spark)
+    df = files(spark, ("a.py", "def f():\n    g()\n"))
+    got = spark.sql("SELECT s.kind, s.name FROM {f} f, LATERAL extract_symbols(f.path, f.content) s", f=df).collect()
+    assert sorted(map(tuple, got)) == [("Function", "f"), ("MethodCall", "g")]
+    assert tuple(spark.sql("SELECT severity_rank('HIGH'), callee_name('a::b->c'), length(snapshot_key('x')), file_extension('p/q.tar.gz')").first()) == (2, "c", 16, "gz")
