@@ -207,13 +207,12 @@ def _alike(threshold: int, n_a: F.Column, n_b: F.Column, apart: F.Column) -> F.C
 
 def star_differences(buckets: DataFrame, nodes: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     """(a, b, n_a, n_b, delta) of members a and the centres b of their buckets, far members left out."""
-    heavy = buckets.groupBy("band").agg(F.log(F.count(F.lit(1)).cast("double")).alias("w"))
+    heavy = buckets.groupBy("band").agg((1e6 * F.log(F.count(F.lit(1)).cast("double"))).cast("long").alias("w"))
     weight = buckets.join(heavy, "band").groupBy("rid").agg(F.sum("w").alias("w"))
-    placed = stored(buckets.join(weight, "rid").select("band", "rid", F.struct((-F.col("w")).alias("w"), F.xxhash64("rid").alias("h"), "rid").alias("rank")), "near-placed")
+    placed = buckets.join(weight, "rid").select("band", "rid", F.struct((-F.col("w")).alias("w"), F.xxhash64("rid").alias("h"), "rid").alias("rank"))
     centres = placed.groupBy("band").agg(F.min("rank").alias("c"))
-    pairs = placed.join(centres.select("band", F.col("c.rid").alias("b")), "band").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
+    pairs = buckets.join(centres.select("band", F.col("c.rid").alias("b")), "band").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
     likely = _estimated(pairs, nodes).where(F.col("e") >= FAR)
-    likely = stored(likely.select("a", "b"), "near-likely")
     with bounded_batches(buckets.sparkSession):
         return stored(_compared(likely, bodies, size), "near-differences")
 
@@ -229,7 +228,7 @@ def beside_centres(compared: DataFrame, threshold: int) -> DataFrame:
     tau = (100 - threshold) / (100 + threshold)
     rows = compared.select(F.col("a").alias("rid"), F.col("b").alias("c"), F.col("n_a").alias("n"), F.col("n_b").alias("n_c"), F.size("delta").alias("d"), "delta")
     rows = rows.withColumn("far", ~_alike(threshold, F.col("n"), F.col("n_c"), F.col("d")))
-    rows = stored(rows.join(rows.where("far").select("c").distinct(), "c", "left_semi"), "near-beside")
+    rows = rows.join(rows.where("far").select("c").distinct(), "c", "left_semi")
     each = rows.select("c", "rid", F.explode("delta").alias("el"))
     often = each.groupBy("c", "el").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = each.join(often, ["c", "el"]).groupBy("c", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "el"))).alias("els"))
@@ -258,7 +257,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with bounded_batches(docs.sparkSession):
         sketched = stored(sketches(plain, size), "near-sketches")
     classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rid")).where("rid is not null")
-    member = stored(sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rid"), "near-members")
+    member = sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rid")
     heads = member.where("doc_id = rid").select("rid").distinct()
     nodes = sketched.where("n_shingles > 0").join(heads, F.col("doc_id") == F.col("rid")).select("rid", F.col("n_shingles").alias("n"), "regs", "bands")
     rows = nodes.select("rid", F.explode("bands").alias("band"))
