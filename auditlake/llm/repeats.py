@@ -36,7 +36,8 @@ HOT = 4096
 #: Text of one document bucket, and anchors' share of one anchor bucket.
 DOC_BUCKET_BYTES = 8 << 20
 LEAST_BUCKET_BYTES = 256 << 10
-BLOCK_BYTES = 1 << 20
+#: Text fingerprinted at once: numpy holds about a dozen 8-byte values a symbol meanwhile.
+BLOCK_BYTES = 256 << 10
 PACKED = "kind int, bucket int, packed binary"
 R, FINE, WINDOWS, LOCAL = 1, 2, 3, 4
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -47,6 +48,7 @@ class Task:
     """What repeats are looked for: symbols of a block, window and anchor length, whether the first one counts."""
 
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # bytes, offsets -> codes, offsets
+    places: Callable[[np.ndarray, np.ndarray], np.ndarray]  # bytes, offsets -> offsets of each text's symbols
     length: int
     gram: int
     every: bool  # mark every occurrence, or all but the first
@@ -256,13 +258,18 @@ def _text_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fetch(task: Task, docs: pa.Table, marks: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """Symbols (or, for hot anchors, fingerprints) of the windows that F anchors stand for."""
+    """Symbols (or, for hot anchors, fingerprints) of the windows that F anchors stand for.
+
+    Texts are fingerprinted part by part; what is fetched is dealt once for the whole bucket.
+    """
     rows = marks["packed"].to_pylist()
     if not rows or not docs.num_rows:
         return
     key, at, dlo, dhi, hot = gathered(rows, np.int64, np.uint32, np.uint8, np.uint8, np.uint8)
     keys = np.asarray(docs["key"].combine_chunks())
     has = np.flatnonzero(np.isin(keys, key))
+    cold: list[tuple] = []
+    warm: list[tuple] = []
     for part in np.array_split(has, max(1, docs.nbytes // (2 * BLOCK_BYTES))):
         if not len(part):
             continue
@@ -272,27 +279,35 @@ def _fetch(task: Task, docs: pa.Table, marks: pa.Table) -> Iterator[tuple[int, i
         mine = np.isin(key, keys[part])
         k, a, lo, hi, is_hot = (x[mine] for x in (key, at.astype(np.int64), dlo.astype(np.int64), dhi.astype(np.int64), hot > 0))
         base = offsets[_lookup(keys[part], k)]
-        h = W.run_hashes(sums, base + a, base + a + task.gram)
         start, count = a - lo, lo - hi + 1
-        bucket = ((h >> np.uint64(32)) % np.uint64(task.anchor_buckets)).astype(np.int32)
-        cold = np.flatnonzero(~is_hot)
-        if len(cold):
-            for _, b, raw in _dealt(0, bucket[cold], cold):
-                [some] = unpack(raw, np.int64)
-                size = count[some] + task.length - 1
-                flat = np.repeat(base[some] + start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                yield FINE, b, pack(k[some], start[some].astype(np.uint32), count[some].astype(np.uint16), codes[flat] if task.coded else data[flat])
-        warm = np.flatnonzero(is_hot)
-        if len(warm):
-            c = count[warm]
-            one = np.repeat(start[warm] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            owner, shift = np.repeat(k[warm], c), np.repeat(base[warm], c)
-            print_ = W.run_hashes(sums, shift + one, shift + one + task.length)
-            order, new, marked, several = collapse([print_], owner, one, task.every)
-            if marked.any():
-                yield from _dealt(LOCAL, task.anchor_buckets + doc_bucket(owner[order][marked], 64), owner[order][marked], one[order][marked].astype(np.uint32))
-            go = order[new]
-            yield from _dealt(WINDOWS, (print_[go] % np.uint64(task.anchor_buckets)).astype(np.int32), print_[go], owner[go], one[go].astype(np.uint32), several[new].astype(np.uint8))
+        some = np.flatnonzero(~is_hot)
+        if len(some):
+            h = W.run_hashes(sums, base[some] + a[some], base[some] + a[some] + task.gram)
+            flat = _ranges(base[some] + start[some], count[some] + task.length - 1)
+            cold.append((((h >> np.uint64(32)) % np.uint64(task.anchor_buckets)).astype(np.int32), k[some], start[some], count[some], (codes if task.coded else data)[flat]))
+        some = np.flatnonzero(is_hot)
+        if len(some):
+            one, owner, shift = _ranges(start[some], count[some]), np.repeat(k[some], count[some]), np.repeat(base[some], count[some])
+            warm.append((W.run_hashes(sums, shift + one, shift + one + task.length), owner, one))
+    if cold:
+        bucket, k, start, count, symbols = (np.concatenate(x) for x in zip(*cold, strict=True))
+        size = count + task.length - 1
+        begin = np.cumsum(size) - size
+        for _, b, raw in _dealt(0, bucket, np.arange(len(bucket))):
+            [some] = unpack(raw, np.int64)
+            yield FINE, b, pack(k[some], start[some].astype(np.uint32), count[some].astype(np.uint16), symbols[_ranges(begin[some], size[some])])
+    if warm:
+        print_, owner, one = (np.concatenate(x) for x in zip(*warm, strict=True))
+        order, new, marked, several = collapse([print_], owner, one, task.every)
+        if marked.any():
+            yield from _dealt(LOCAL, task.anchor_buckets + doc_bucket(owner[order][marked], 64), owner[order][marked], one[order][marked].astype(np.uint32))
+        go = order[new]
+        yield from _dealt(WINDOWS, (print_[go] % np.uint64(task.anchor_buckets)).astype(np.int32), print_[go], owner[go], one[go].astype(np.uint32), several[new].astype(np.uint8))
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges [begin, begin + size), one range after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def as_spans(key: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -339,20 +354,20 @@ def _finish(task: Task, docs: pa.Table, marks: pa.Table, digest) -> pa.Table:
     key_r, at = gathered([p for k, p in zip(kinds, packed, strict=True) if k == R], np.int64, np.uint32)
     key_w, start, end = gathered([p for k, p in zip(kinds, packed, strict=True) if k == WINDOWS], np.int64, np.uint32, np.uint32)
     keys, out = np.asarray(docs["key"].combine_chunks()), []
-    every_part = np.array_split(np.arange(docs.num_rows), max(1, docs.nbytes // (2 * BLOCK_BYTES)))
+    every_part = np.array_split(np.arange(docs.num_rows), max(1, docs.nbytes // BLOCK_BYTES))
     for part in every_part:
         if not len(part):
             continue
         some = docs.take(pa.array(part))
         data, text_offsets = _text_block(some)
-        _, offsets = task.symbols(data, text_offsets)
-        edge = np.zeros(int(offsets[-1]) + 1, np.int64)
+        offsets = task.places(data, text_offsets)
+        edge = np.zeros(int(offsets[-1]) + 1, np.int32)
         for key, a, b in ((key_r, at.astype(np.int64) - task.reach, at.astype(np.int64) + task.length), (key_w, start.astype(np.int64), end.astype(np.int64))):
             mine = np.isin(key, keys[part])
             row = _lookup(keys[part], key[mine])
             np.add.at(edge, np.maximum(a[mine], 0) + offsets[row], 1)
             np.add.at(edge, np.minimum(b[mine] + offsets[row], offsets[row + 1]), -1)
-        out.append(digest(some["doc_id"].combine_chunks(), data, text_offsets, offsets, np.cumsum(edge)[:-1] > 0))
+        out.append(digest(some["doc_id"].combine_chunks(), data, text_offsets, offsets, np.cumsum(edge, dtype=np.int32)[:-1] > 0))
     return pa.concat_tables(out)
 
 
@@ -383,14 +398,15 @@ def remove_repeats(docs: DataFrame, make_task: Callable[[int, int], Task], kind,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # By size; on small inputs so many that all tasks have work, but none so small that packing gains nothing.
     least = min(2 * parts, size // LEAST_BUCKET_BYTES)
-    task = make_task(_prime(max(least, size // (8 << 20)) + 2), _prime(max(least, 2 * size // DOC_BUCKET_BYTES) + 2))
+    task = make_task(_prime(max(least, size // (4 << 20)) + 2), _prime(max(least, 2 * size // DOC_BUCKET_BYTES) + 2))
     dealt = rows.select("key", "doc_id", "text", doc_bucket_column(F.col("key"), task.doc_buckets).alias("bucket"))
     mapped = rows.select("key", "text").mapInArrow(lambda batches: _batches(_map(task, batches)), PACKED)
 
     def meet(table: pa.Table) -> pa.Table:
         return _table(_meet(task, table))
 
-    marks = stored(mapped.groupBy("bucket").applyInArrow(meet, PACKED), "repeat-marks")
+    # Read by both branches below: Spark reuses the exchange of what was mapped, the costly part.
+    marks = mapped.groupBy("bucket").applyInArrow(meet, PACKED)
     fine = marks.where(F.col("kind") == FINE)
     by_doc = dealt.groupBy("bucket")
     fetched = by_doc.cogroup(fine.groupBy("bucket")).applyInArrow(lambda a, b: _table(_fetch(task, a, b)), PACKED)

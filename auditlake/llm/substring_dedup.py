@@ -34,6 +34,10 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return W.word_hashes(data, offsets)
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return W.split_words(data, offsets)[2]
+
+
 def prefix_groups(symbols: np.ndarray, where: np.ndarray, length: int, group: int):
     """(suffix numbers, shared prefix length) of groups that share a prefix; suffixes that stand alone are left out."""
     waiting = [(np.arange(len(where)), 0)]
@@ -113,7 +117,7 @@ def _digest(ids: pa.Array, data: np.ndarray, text_offsets: np.ndarray, offsets:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = X.HOT, spread: int = X.SPREAD) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
     gram = min(GRAM, max(1, window // 2))
-    return X.remove_repeats(texts(docs, id_col, text_col), lambda a, d: X.Task(word_symbols, window, gram, True, a, d, hot, spread, coded=True), np.uint64, finder(window), _digest, RESULT)
+    return X.remove_repeats(texts(docs, id_col, text_col), lambda a, d: X.Task(word_symbols, word_places, window, gram, True, a, d, hot, spread, coded=True), np.uint64, finder(window), _digest, RESULT)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return W.BYTE_CODE[data], offsets
 
 
+def byte_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return offsets
+
+
 def radix_groups(symbols: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share their first `length` bytes with another: their numbers, and their groups' fingerprints."""
     sums = W.prefix_sums(W.BYTE_CODE[symbols])
@@ -70,7 +74,7 @@ def _digest(ids: pa.Array, data: np.ndarray, text_offsets: np.ndarray, offsets:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = X.HOT, spread: int = X.SPREAD) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return X.remove_repeats(texts(docs, id_col, text_col), lambda a, d: X.Task(byte_symbols, THRESHOLD, GRAM, False, a, d, hot, spread), np.uint8, find, _digest, RESULT)
+    return X.remove_repeats(texts(docs, id_col, text_col), lambda a, d: X.Task(byte_symbols, byte_places, THRESHOLD, GRAM, False, a, d, hot, spread), np.uint8, find, _digest, RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
