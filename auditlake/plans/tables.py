@@ -10,13 +10,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one of this session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="auditlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root, True)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="auditlake-shared-")
+            atexit.register(shutil.rmtree, _OWN[app], True)
+        root = _OWN[app]
     return root.rstrip("/")
 
 

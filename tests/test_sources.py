@@ -113,3 +113,20 @@ def test_table_rewrites(spark):
     assert [r["name"] for r in K.latest_index(spark, indices, symbols, 5).collect()] == ["new"]
     assert [r["is_default"] for r in K.one_default(t, 2).orderBy("id").collect()] == [False, True]
     assert K.set_status(t.withColumn("audit_id", F.col("id")).withColumn("status", F.lit("x")), 1, "done").where("status = 'done'").count() == 1
+
+
+def test_shared_folder(spark):
+    from auditlake.plans.tables import shared_dir, stored
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert stored(df, "t").collect() == df.collect()
+
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        sparkContext = spark.sparkContext
+
+    own = shared_dir(Unset)
+    assert own == shared_dir(Unset) and own != shared_dir(spark)
