@@ -119,7 +119,7 @@ def findings_dedupe(spark, sf):
     return K.new_rows(found.unionByName(found), found.where("line_start = 1")).select("file_path", "line_start", "vuln_type")
 
 
-@query("rule_stats", "SELECT * FROM (VALUES ('total','all',18),('severity','critical',4),('severity','high',6),('severity','medium',6),('severity','low',2),('language','all',16),('language','java',1),('language','typescript',1),('category','injection',5),('category','information-disclosure',3),('category','security-misconfiguration',3),('category','cryptography',2),('category','authentication',1),('category','session-management',1),('category','file-operation',1)) v(dimension, value, n)")
+@query("rule_stats", "SELECT dimension, value, CAST(n AS BIGINT) AS n FROM (VALUES ('total','all',18),('severity','critical',4),('severity','high',6),('severity','medium',6),('severity','low',2),('language','all',16),('language','java',1),('language','typescript',1),('category','injection',5),('category','information-disclosure',3),('category','security-misconfiguration',3),('category','cryptography',2),('category','authentication',1),('category','session-management',1),('category','file-operation',1)) v(dimension, value, n)")
 def rule_stats(spark, sf):
     return G.rule_statistics(rule_table(spark))
 
