@@ -45,10 +45,12 @@ THRESHOLD = 5
 
 _ANY_NAME = re.compile("|".join(sorted(NAME_WEIGHTS, key=len, reverse=True)), re.I | re.A)
 #: A name, an assignment sign and what starts its value; the name stands at a word's start.
-_PAIR = re.compile(r"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]{0,127})\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=[\w"'`$+/])""", re.A)
-_STRING = re.compile(r""""((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`""")
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#]{1,4096}""")
-_REFERENCE = re.compile(r"[A-Za-z_$][\w.$]*\Z", re.A)
+_PAIR = re.compile(r"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=[\w"'`$+/])""", re.A)
+# Literals and names have no upper length; possessive repeats give nothing back, so a match is linear.
+_STRING = re.compile(r""""((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`""")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#]++""")
+_NAME = re.compile(r"[A-Za-z_$][\w.$-]*+\Z", re.A)
+_REFERENCE = re.compile(r"[A-Za-z_$][\w.$]*+\Z", re.A)
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -70,22 +72,27 @@ def literal_score(value: str) -> int:
     return 1 + (n >= 16) + (entropy >= 3) + (classes >= 3)
 
 
-def _values(text: str, at: int, known: dict) -> list[tuple[str, tuple[int, int] | None]]:
-    """The operands of the value that starts at a place: their text and span; spans of constants come from `known`."""
+def _values(text: str, at: int, known: dict, run: list[int]) -> list[tuple[int, int]]:
+    """The spans of the operands of the value that starts at a place; those of constants come from `known`.
+
+    `run` is the last bare run (start, end, end without dots): `a=b=c=...` has a value at each sign, all with one end.
+    """
     out = []
     while True:
         if m := _STRING.match(text, at):
-            k = m.lastindex or 1
-            out.append((m[k], m.span(k)))
-        elif m := _BARE.match(text, at):
-            word = m[0].rstrip(".")
-            if word in known:
+            out.append(m.span(m.lastindex or 1))
+            at = m.end()
+        elif run[0] <= at < run[1] or (m := _BARE.match(text, at)):
+            if m:
+                run[:] = m.start(), m.end(), m.start() + len(m[0].rstrip("."))
+            end = max(at, run[2])
+            if _NAME.match(text, at, end) and (word := text[at:end]) in known:
                 out += known[word]
-            elif not (_REFERENCE.match(word) and text[m.end() : m.end() + 1] == "("):
-                out.append((word, (m.start(), m.start() + len(word))))
+            elif not (_REFERENCE.match(text, at, end) and text[run[1] : run[1] + 1] == "("):
+                out.append((at, end))
+            at = run[1]
         else:
             return out
-        at = m.end()
         if not (m := _PLUS.match(text, at)):
             return out
         at = m.end()
@@ -95,18 +102,19 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
     if not _ANY_NAME.search(text):
         return []
-    known: dict[str, list[tuple[str, tuple[int, int] | None]]] = {}
+    known: dict[str, list[tuple[int, int]]] = {}
     found: set[tuple[int, int]] = set()
+    run = [0, 0, 0]
     for m in _PAIR.finditer(text):
-        name, operands = m[2], _values(text, m.end(), known)
+        name, operands = m[2], _values(text, m.end(), known, run)
         if not operands:
             continue
-        quoted = any(s and text[s[0] - 1 : s[0]] in "\"'`" for _, s in operands)
+        quoted = any(text[a - 1 : a] in "\"'`" for a, _ in operands)
         if quoted or m[0].rstrip()[-1] != ":":  # "word: prose" defines no constant
             known[name] = operands
         weight = name_weight(name)
-        if weight >= 2 and weight + literal_score("".join(v for v, _ in operands)) >= THRESHOLD:
-            found.update(s for _, s in operands if s and s[1] > s[0])
+        if weight >= 2 and weight + literal_score("".join(text[a:b] for a, b in operands)) >= THRESHOLD:
+            found.update((a, b) for a, b in operands if b > a)
     return sorted(found)
 
 

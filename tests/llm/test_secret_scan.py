@@ -52,6 +52,22 @@ def test_assignments():
     assert found("the password: is long and plain prose") == []
 
 
+def test_long_literals_and_names():
+    """Literals and names of any length; a long quoted one was dropped, a long bare one cut, a long name ignored."""
+    long = "".join(random.Random(5).choices("ABCDEFGHIJabcdefghij0123456789+/", k=5000))
+    for quote in "\"'`":
+        text = f"private_key = {quote}{long}{quote}\n"
+        assert S.lexed_spans(text) == [(15, 5015)]
+        assert S.lexed_spans(f"blob = {quote}{long}{quote}\npassphrase = blob") == [(8, 5008)]
+    assert S.lexed_spans("access_key=" + long) == [(11, 5011)]
+    assert S.lexed_spans("access_key: " + long + "...\nx = 1") == [(12, 5012)]
+    name = "a" * 500 + "_credentials"
+    assert S.lexed_spans(f'"{name}": "q9$kfLw02mfPz81a"') == [(len(name) + 5, len(name) + 21)]
+    assert S.lexed_spans(f'k = "{long[:4]}\\"{long[4:]}"\nclient_secret = "{long}\\') == []
+    run = "&".join(f"a{i}=1" for i in range(20_000)) + "&access_key=" + long
+    assert S.lexed_spans(run) == [(len(run) - 5000, len(run))]
+
+
 def test_empty_table_and_whole_query(spark, sf_dir):
     assert S.digests(S.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
