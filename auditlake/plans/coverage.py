@@ -258,6 +258,14 @@ def edge_handles(spark, sf):
     return N.placed_edges(l, ids.select("id", F.col("id").alias("x"), (F.col("id") % 7).alias("y"))).select("source", "target", "source_handle")
 
 
+@query("edge_handles_all", "SELECT l_orderkey AS source, l_partkey AS target, CASE WHEN abs(l_partkey - l_orderkey) > abs(l_partkey % 7 - l_orderkey % 7) THEN CASE WHEN l_partkey > l_orderkey THEN 'right' ELSE 'left' END ELSE CASE WHEN l_partkey % 7 > l_orderkey % 7 THEN 'bottom' ELSE 'top' END END AS source_handle FROM lineitem")
+def edge_handles_all(spark, sf):
+    """Every line item is an edge."""
+    l = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))  # noqa: E741
+    ids = l.select(F.col("source").alias("id")).union(l.select("target")).distinct()
+    return N.placed_edges(l, ids.select("id", F.col("id").alias("x"), (F.col("id") % 7).alias("y"))).select("source", "target", "source_handle")
+
+
 @query("agent_tree", f"WITH RECURSIVE t AS ({I.AGENTS}), r(agent_id, top, depth) AS (SELECT agent_id, agent_id, 0 FROM t UNION ALL SELECT r.agent_id, t.parent_id, r.depth + 1 FROM r JOIN t ON t.agent_id = r.top WHERE t.parent_id IS NOT NULL) SELECT agent_id, arg_max(top, depth) AS root, CAST(max(depth) AS INT) AS depth FROM r GROUP BY agent_id")
 def agent_tree(spark, sf):
     return N.agent_tree(I.agents(spark, sf)).select("agent_id", "root", "depth")
