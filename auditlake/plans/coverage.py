@@ -61,6 +61,13 @@ def manifest_lines(spark, sf):
     return R.dependencies(files).groupBy(F.regexp_replace("file", "/requirements.txt$", "").alias("file")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("manifest_lines_all", f"WITH l AS (SELECT path AS file, trim(unnest(string_split(content, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM ({I.FILES})) SELECT file, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' AND line NOT LIKE '#%' GROUP BY file")
+def manifest_lines_all(spark, sf):
+    """Every document as a requirements file."""
+    files = I.files(spark, sf).select(F.concat("path", F.lit("/requirements.txt")).alias("path"), "content")
+    return R.dependencies(files).groupBy(F.regexp_replace("file", "/requirements.txt$", "").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("store_scan_row", f"SELECT 3 AS project_id, 'completed' AS status, (SELECT count(DISTINCT path) FROM ({I.FILES})) AS files_scanned, count(*) AS findings_found FROM ({I.FINDINGS})")
 def store_scan_row(spark, sf):
     findings = I.findings(spark, sf)

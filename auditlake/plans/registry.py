@@ -416,6 +416,25 @@ def whole_file_lines(spark, sf):
     return D.whole_file_lines(I.files(spark, sf).where("ext = 'rs'"), "Insert").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("whole_file_lines_all", f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) l WHERE {_LAST} GROUP BY path")
+def whole_file_lines_all(spark, sf):
+    """Of files of every extension."""
+    return D.whole_file_lines(I.files(spark, sf), "Insert").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("git_change_sides")
+def git_change_sides(spark, sf):
+    """Line diffs of every changed path of two differing sides; SQL has no line diff, so lines are tested against brute force."""
+    a, b = _sides(spark, sf)
+    status = F.substring("status", 1, 1).alias("status")
+    changes = D.compare_keys(a, b).where("status <> 'Unchanged'").select(status, "path", F.lit(None).cast("string").alias("old_path"))
+
+    def lines(kind: str):
+        return F.size(F.filter("lines", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind.lower()}")
+
+    return D.compare_changes(changes, a, b).select("path", "status", lines("Equal"), lines("Insert"), lines("Delete"))
+
+
 # --- graphs --------------------------------------------------------------------------------------
 
 _BFS = f"""WITH RECURSIVE e AS ({I.CALLS}), r(node, lvl) AS (SELECT 'f1', 0 UNION SELECT e.callee, r.lvl + 1 FROM r JOIN e ON e.caller = r.node WHERE r.lvl < 2),

@@ -3,6 +3,15 @@
 from auditlake.plans import coverage, registry  # noqa: F401
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -11,3 +20,33 @@ def test_edge_handles_takes_every_line_item(spark, sf_dir):
     rows = registry.QUERIES["edge_handles_all"](spark, sf_dir).collect()
     assert len(rows) == table(spark, sf_dir, "lineitem").count() > registry.QUERIES["edge_handles"](spark, sf_dir).count()
     assert {r["source_handle"] for r in rows} >= {"left", "right"} and all(r["source_handle"] for r in rows)
+
+
+def test_lines_of_files_of_every_extension(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+
+    def doc_id(path):
+        return int(path.rsplit("/", 1)[1].split(".")[0])
+
+    got = {doc_id(r["path"]): r["n"] for r in registry.QUERIES["whole_file_lines_all"](spark, sf_dir).collect()}
+    assert got == {k: len(t.removesuffix("\n").split("\n")) for k, t in texts.items() if t}
+    got = {doc_id(r["file"]): r["n"] for r in registry.QUERIES["manifest_lines_all"](spark, sf_dir).collect()}
+    want = {k: sum(bool(x.strip()) and not x.strip().startswith("#") for x in t.split("\n")) for k, t in texts.items()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_git_changes_of_differing_sides(spark, sf_dir):
+    """Each text against brute force: paths of both sides, of one, carriage returns and all extensions."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    old = {k // 2: t for k, t in texts.items() if k % 2 == 0}
+    new = {k // 2 + k // 200: t for k, t in texts.items() if k % 2 == 1}
+    want = {}
+    for k in old.keys() | new.keys():
+        if old.get(k) == new.get(k):
+            continue
+        a, b = (old.get(k) or "").splitlines(), (new.get(k) or "").splitlines()
+        same = longest_common(a, b)
+        want[f"d/{k}"] = ("D" if k not in new else "A" if k not in old else "M", same, len(b) - same, len(a) - same)
+    got = {r["path"]: tuple(r)[1:] for r in registry.QUERIES["git_change_sides"](spark, sf_dir).collect()}
+    assert got == want
+    assert sum(x[2] for x in got.values()) and sum(x[3] for x in got.values())
