@@ -451,6 +451,20 @@ def call_graph_nodes(spark, sf):
     return N.call_graph(I.calls(spark, sf), "f1", 2)[0]
 
 
+_BFS_ALL = f"""WITH RECURSIVE e AS ({I.ALL_CALLS}), r(node, lvl) AS (SELECT 'f1', 0 UNION SELECT e.callee, r.lvl + 1 FROM r JOIN e ON e.caller = r.node WHERE r.lvl < 2),
+ f AS (SELECT node, min(lvl) AS lvl FROM r GROUP BY node)"""
+
+
+@query("call_graph_edges_all", _BFS_ALL + " SELECT e.caller, e.callee, e.file, e.line, CAST(f.lvl AS INT) AS level FROM e JOIN f ON e.caller = f.node WHERE f.lvl < 2")
+def call_graph_edges_all(spark, sf):
+    return N.call_graph(I.all_calls(spark, sf), "f1", 2)[1]
+
+
+@query("call_graph_nodes_all", _BFS_ALL + " SELECT node FROM f")
+def call_graph_nodes_all(spark, sf):
+    return N.call_graph(I.all_calls(spark, sf), "f1", 2)[0]
+
+
 @query("class_hierarchy", f"""WITH RECURSIVE s AS (SELECT DISTINCT name, parent_classes[1] AS parent FROM ({I.SYMBOLS}) WHERE kind = 'Class'), u(name, depth) AS (SELECT 'N5', 0 UNION SELECT s.parent, u.depth + 1 FROM u JOIN s ON s.name = u.name WHERE s.parent IN (SELECT name FROM s) AND u.depth < 300),
  m AS (SELECT name, min(depth) AS depth FROM u GROUP BY name) SELECT 'parent' AS relation, name, CAST(depth AS INT) AS depth FROM m WHERE depth > 0 UNION ALL SELECT DISTINCT 'child', name, 1 FROM s WHERE parent = 'N5'""")
 def class_hierarchy(spark, sf):

@@ -50,3 +50,17 @@ def test_git_changes_of_differing_sides(spark, sf_dir):
     got = {r["path"]: tuple(r)[1:] for r in registry.QUERIES["git_change_sides"](spark, sf_dir).collect()}
     assert got == want
     assert sum(x[2] for x in got.values()) and sum(x[3] for x in got.values())
+
+
+def test_call_graph_emits_every_call_site(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber").collect()
+    sites = [(f"f{r[0] % 500}", f"f{r[1] * 13 % 500}", f"src/{r[2]}", r[3]) for r in items]
+    level = {"f1": 0}
+    for depth in range(2):
+        for caller, callee, _, _ in sites:
+            if level.get(caller) == depth:
+                level.setdefault(callee, depth + 1)
+    edges = sorted(map(tuple, registry.QUERIES["call_graph_edges_all"](spark, sf_dir).select("caller", "callee", "file", "line", "level").collect()))
+    assert edges == sorted((*x, level[x[0]]) for x in sites if level.get(x[0], 2) < 2)
+    assert {line for *_, line, _ in edges} > {1}
+    assert {r["node"] for r in registry.QUERIES["call_graph_nodes_all"](spark, sf_dir).collect()} == set(level)
