@@ -217,6 +217,12 @@ def severity_sorted(spark, sf):
     return T.by_severity(I.findings(spark, sf)).limit(100).select("finding_id", "severity", S.severity_rank(F.col("severity")).alias("rank"))
 
 
+@query("severity_sorted_all", f"SELECT finding_id, severity, CAST({_RANK} AS INT) AS rank FROM ({I.FINDINGS}) ORDER BY {_RANK}, created_at DESC, finding_id")
+def severity_sorted_all(spark, sf):
+    """The whole order, as the surveyed query has no limit."""
+    return T.by_severity(I.findings(spark, sf)).select("finding_id", "severity", S.severity_rank(F.col("severity")).alias("rank"))
+
+
 @query("findings_prioritised", f"SELECT finding_id FROM ({I.FINDINGS}) ORDER BY CASE lower(severity) WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 WHEN 'info' THEN 5 ELSE 5 END, rule_id, finding_id LIMIT 50")
 def findings_prioritised(spark, sf):
     return T.prioritised(I.findings(spark, sf)).select("finding_id")

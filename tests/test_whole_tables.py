@@ -64,3 +64,11 @@ def test_call_graph_emits_every_call_site(spark, sf_dir):
     assert edges == sorted((*x, level[x[0]]) for x in sites if level.get(x[0], 2) < 2)
     assert {line for *_, line, _ in edges} > {1}
     assert {r["node"] for r in registry.QUERIES["call_graph_nodes_all"](spark, sf_dir).collect()} == set(level)
+
+
+def test_severity_order_is_whole(spark, sf_dir):
+    rows = registry.QUERIES["severity_sorted_all"](spark, sf_dir).collect()
+    orders = {r["o_orderkey"]: r["o_orderdate"] for r in table(spark, sf_dir, "orders").collect()}
+    assert len(rows) == len(orders) > 100 and {r["finding_id"] for r in rows} == set(orders)
+    place = [(r["rank"], -orders[r["finding_id"]].toordinal(), r["finding_id"]) for r in rows]
+    assert place == sorted(place) and {r["rank"] for r in rows} == set(range(1, 7))
