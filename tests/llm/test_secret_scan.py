@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 from auditlake.llm import secret_scan as S
 
@@ -68,6 +69,99 @@ def test_long_literals_and_names():
     assert S.lexed_spans(run) == [(len(run) - 5000, len(run))]
 
 
+def brute_lexed(statements):
+    """Literals that reach a sensitive name; statements are (name, operands), operands (is name, text, span)."""
+
+    def meant(at, name):
+        places = [k for k, (n, _) in enumerate(statements) if n == name and k != at]
+        before = [k for k in places if k < at]
+        return before[-1] if before else places[0] if places else None
+
+    def whole(at, above):
+        """The value spelt out and the literals in it; a circle adds nothing."""
+        value, literals = "", set()
+        for is_name, said, span in statements[at][1]:
+            to = meant(at, said) if is_name else None
+            if to is None:
+                value, literals = value + said, literals | {span}
+            elif to not in above:
+                more, inner = whole(to, above | {to})
+                value, literals = value + more, literals | inner
+        return value, literals
+
+    out = set()
+    for at, (name, _) in enumerate(statements):
+        weight = sum(S.NAME_WEIGHTS.get(w, 0) for w in set(name.lower().split("_")))
+        value, literals = whole(at, {at})
+        classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        if weight >= 2 and len(value) >= 8 and weight + 1 + (len(value) >= 16) + (len(set(value)) >= 9) + (classes >= 3) >= S.THRESHOLD:
+            out |= literals
+    return sorted(out)
+
+
+def test_lexed_as_brute_force():
+    """Programs of assignments, some of which use names before they are defined, against values spelt out in full."""
+    rng = random.Random(11)
+    names = ["alpha", "beta", "gamma", "db_password", "auth_token", "client_secret", "omega"]
+    found = 0
+    for _ in range(600):
+        text, statements = "", []
+        for _ in range(rng.randrange(1, 7)):
+            name, operands = rng.choice(names), []
+            text += rng.choice(["", "# a remark\n", "/* more */ ", 'print("text")\n', "it isn't\n", "  "]) + name + rng.choice([" = ", "=", " := ", " => "])
+            for k in range(rng.randrange(1, 4)):
+                text += " + " * (k > 0)
+                if rng.random() < 0.5:
+                    said = rng.choice(names)
+                    operands.append((True, said, (len(text), len(text) + len(said))))
+                    text += said
+                else:
+                    said = "".join(rng.choices("abcXYZ123$%", k=rng.randrange(1, 12)))
+                    operands.append((False, said, (len(text) + 1, len(text) + 1 + len(said))))
+                    text += f'"{said}"'
+            statements.append((name, operands))
+            text += "\n"
+        circle = any(o[0] and o[1] == n for n, os in statements for o in os) or len({n for n, _ in statements}) < len(statements)
+        got = S.lexed_spans(text)
+        if not circle or not _circles(statements):
+            assert got == brute_lexed(statements), text
+            found += bool(got)
+    assert found > 50
+
+
+def _circles(statements):
+    """Whether a name's value depends on itself (where a circle is cut is not part of the comparison)."""
+
+    def meant(at, name):
+        places = [k for k, (n, _) in enumerate(statements) if n == name and k != at]
+        before = [k for k in places if k < at]
+        return before[-1] if before else places[0] if places else None
+
+    def visit(at, above):
+        inner = [meant(at, said) for is_name, said, _ in statements[at][1] if is_name]
+        return any(i in above or visit(i, above | {i}) for i in inner if i is not None)
+
+    return any(visit(k, {k}) for k in range(len(statements)))
+
+
+def test_constants_without_growth():
+    """Doubling constants, uses before definitions, circles, and pairs in comments and strings."""
+    literal = "q9$kfLw02mfPz81a"
+    doubling = f'v0 = "{literal}"\n' + "\n".join(f"v{i} = v{i - 1} + v{i - 1}" for i in range(1, 200)) + "\npassword = v199"
+    tracemalloc.start()
+    assert S.lexed_spans(doubling) == [(6, 6 + len(literal))]
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert S.lexed_spans(f'password = KEY\nKEY = "{literal}"') == [(22, 38)]
+    assert S.lexed_spans("a = b\nb = a\npassword = a") == []
+    assert S.lexed_spans(f'# password = "{literal}"') == [(14, 30)]
+    assert S.lexed_spans(f"/* token: {literal} */") == [(10, 26)]
+    assert S.lexed_spans(f"run('x password={literal}')") == [(16, 32)]
+    assert S.lexed_spans(f'# KEY = "{literal}"\nclient_secret = KEY') == []  # a comment defines no constant
+    long = "".join(random.Random(5).choices("ABCDEFGHIJabcdefghij0123456789+/", k=100_000))
+    assert S.lexed_spans(f'password = "{long}"') == [(12, 100_012)]
+
+
 def test_empty_table_and_whole_query(spark, sf_dir):
     assert S.digests(S.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
