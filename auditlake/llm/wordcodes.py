@@ -79,7 +79,32 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
+#: Value of each (place in a word, byte) up to PLACES; later places are computed.
+PLACES = 64
+
+
+def _place_codes(byte_codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Values of bytes at places of a word: mixed, so no value of one place is a multiple of another's."""
+    return mix(byte_codes + place.astype(np.uint64) * np.uint64(_BASE))
+
+
+_TABLES = {id(code): _place_codes(code[None, :], np.arange(PLACES)[:, None]).ravel() for code in (BYTE_CODE, LOWER_CODE)}
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, code: np.ndarray = BYTE_CODE) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of every word, and the place of each text's first word."""
+    """Fingerprint of every word, and the place of each text's first word.
+
+    A word's fingerprint is the mixed sum of independent values of its (place, byte) pairs, so it has no algebraic
+    structure that words of any length could exploit (a polynomial modulo 2**64 has: Thue-Morse words collide).
+    """
     start, end, first = split_words(data, offsets)
-    return run_hashes(prefix_sums(code[data]), start, end), first
+    size = end - start
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+    letters = data[SPACE[data] == 0] if len(place) != len(data) else data
+    values = _TABLES[id(code)][np.minimum(place, PLACES - 1) * 256 + letters]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = _place_codes(code[letters[far]], place[far])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return mix(sums[ends] - sums[ends - size] + size.astype(np.uint64) * np.uint64(_UNBASE)), first
