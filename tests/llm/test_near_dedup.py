@@ -70,6 +70,88 @@ def test_hot_group_of_near_copies(spark):
     check(spark, docs, 4)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_polynomial(spark):
+    """Words that every polynomial modulo 2**64 takes for equal."""
+    docs = []
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        docs += [(len(docs), f"one {a} two three"), (len(docs) + 1, f"one {b} two three"), (len(docs) + 2, f"One {a} two  three")]
+    check(spark, docs, 4)
+
+
+def test_confirmed_word_by_word():
+    x, y = b"a b c d e f g h i j", b"A b c d e f g h i  j"
+    assert N.same_words(x, y, 4, 80) and not N.same_words(x, b"a b c d x f g h i j", 4, 80)
+    assert N.same_words(b"a b", b"A  b", 4, 80) and not N.same_words(b"a b", b"a c", 4, 80)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """One id with several texts is one node: it is linked with whatever one of its texts is linked with."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = [(1, a), (5, a + " more"), (5, b), (5, b), (9, b + " more"), (7, c), (7, ""), (3, c + " more"), (None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.near_dedup(df).collect() if r["doc_id"])
+    assert got == [(1, 1), (3, 3), (5, 1), (5, 1), (5, 1), (7, 3), (7, 3), (9, 1)]
+
+
+def family(rng, base, n, start):
+    out = []
+    for i in range(start, start + n):
+        copy = list(base)
+        for k in rng.sample(range(len(base)), 3):
+            copy[k] = f"v{i}x{k}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_related_families(spark, monkeypatch):
+    """Two families that share 65 % of their words, and one whose members are all under the threshold: what the
+    joins meet grows in proportion."""
+    met = {}
+    kept = N.stored
+
+    def counting(df, name):
+        out = kept(df, name)
+        met[name] = met.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", counting)
+    sizes = {}
+    for n in (200, 800):
+        rng = random.Random(n)
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = base[:195] + [f"z{k}" for k in range(105)]
+        loose = [f"t{k}" for k in range(100)]
+        docs = family(rng, base, 2 * n // 3, 0) + family(rng, other, n // 3, n)
+        docs += [(5000 + i, " ".join(loose[:50] + [f"u{i}x{k}" for k in range(16)] + loose[50:])) for i in range(n // 6)]
+        met.clear()
+        if n == 200:
+            check(spark, docs, 5)
+        else:
+            N.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).count()
+        sizes[n] = dict(met)
+    for name in ("near-pairs", "near-compared", "near-between", "near-left"):
+        few, many = sizes[200].get(name, 0), sizes[800].get(name, 0)
+        assert many <= 6 * few + 400, (name, few, many)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_prefix_join_of_what_is_left(spark, monkeypatch, rounds):
+    """With all members far after each round, the prefix join alone must find the links."""
+    monkeypatch.setattr(N, "FAR", 2.0)
+    monkeypatch.setattr(N, "ROUNDS", rounds + 1)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    check(spark, family(rng, base, 40, 0), 5)
+
+
 def test_empty_and_no_links(spark):
     assert N.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [(1, None), (2, "a b c d e f"), (3, "g h i j k")], 5)
