@@ -3,9 +3,13 @@
 Every stage works on all that its predecessor kept, and its decisions take effect: documents that the quality
 classifier rejects go, one document of each group of equal texts and of each near-duplicate component stays,
 documents that hold a benchmark item go, and what is left is encoded and decoded.  All stages but the last
-return the columns of documents.  Rows with a null doc_id are judged by their own text where a stage judges
-texts, and stay where a stage compares ids.  The stages tighten the session's bounds of an Arrow batch, since
-they run after each other in one set of executors.
+return the columns of documents.  The stages tighten the session's bounds of an Arrow batch, since they run
+after each other in one set of executors.
+
+Rows are judged, not ids: where ids repeat or are null, the stages that drop copies number the rows by id (nulls
+last) and text, so a row is dropped only for its own text, and null ids are deduplicated like others.  Defined
+results: null text counts as empty; very long texts are used whole; of identical rows one stays; an empty table
+gives an empty result; columns besides id and text, whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import decontamination, quality_classifier
-from auditlake.llm.common import bound_batches, new_path, read_table
+from auditlake.llm.common import bound_batches, new_path, read_table, stored
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.near_dedup import near_dedup
 from auditlake.llm.sentencepiece_codec import encode_decode
@@ -27,19 +31,34 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality_classifier.score_column(model, F.col("text")) >= quality_classifier.THRESHOLD)
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs without the ids that are not kept; Catalyst broadcasts the list only when it is small."""
-    return docs.join(decided.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+ROW = "_pipeline_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a row key in the order of ids: the id itself where ids are distinct and not null, else a number."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1)
+    if odd.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return stored(ordered.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _kept(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows without those that are not kept; Catalyst broadcasts the list only when it is small."""
+    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    """Keep the row with the smallest id of each group of equal texts."""
+    rows = _rows(docs)
+    return _kept(rows, exact_dedup(rows, id_col=ROW)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of texts alike by 0.8 on five-word shingles."""
-    return _without(docs, near_dedup(docs))
+    """Keep one row of each component of texts alike by 0.8 on five-word shingles."""
+    rows = _rows(docs)
+    return _kept(rows, near_dedup(rows, id_col=ROW)).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
