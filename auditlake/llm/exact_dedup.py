@@ -2,14 +2,14 @@
 
 A text's key is the leading 60 bits of the SHA-256 of its white-space-normalised form.
 
-1. Keys, lengths and ids (never texts) are gathered: entries, one a (key, length), counted map-side first.
-2. A directory over key prefixes doubles until no bucket holds more than `capacity` entries: the entries of all
-   prefixes are counted in one pass, a prefix with too many is split, and the leaves of that tree are the buckets.
-   Texts whose keys collide whole are one entry here, and a chain later.
-3. Slots route entries to buckets and owner tasks.  A key that one document alone has ends there.  For the others
-   the owners fetch the bytes, and bytes decide: within a bucket, texts of one key are one chain entry when they
-   are equal, and separate entries when they only collide.  The smallest id of an entry is the one that stays.
-   Copies collapse in the map task first, so a text that a third of all rows share cannot overload an owner.
+1. Keys, lengths and ids (never texts) are gathered first.
+2. A directory over key prefixes doubles until no bucket holds more than `capacity` distinct keys: the keys under
+   all prefixes are counted in one pass, a prefix with too many is split, and the leaves of that tree are the
+   buckets.
+3. Slots route texts to buckets and owners, and there bytes decide: texts of one key are one chain entry when they
+   are equal byte for byte, and separate entries when only their keys collide.  The smallest id of an entry is the
+   one that stays.  Equal texts collapse in the map task first (the same comparison), so a text that a third of
+   all rows share cannot overload a task.
 4. Owners write their buckets to the shared folder in key order, with the place of each entry in its chain.
 5. Every document probes the written index: its slot names the bucket, bucket and key name the chain, and in the
    chain length and SHA-256 name the entry.  Hot chains are dealt over several tasks.
@@ -120,19 +120,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = keyed(docs, id_col, text_col) if keys is None else keys
-    one_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("lo"), F.min("sha").alias("sha"), F.min("n_bytes").alias("n_bytes"))
-    one_key = stored(one_key, "exact-entries")
-    directory = grow_directory(one_key.select("key"), capacity, owners, one_key.count())
-    lone = one_key.where("rows = 1").select("key", "n_bytes", "sha", F.col("lo").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    lone = _routed(lone, directory)
-    # Bytes are read where a key has several rows; Catalyst broadcasts these keys where they are few.
+    distinct = stored(keys.select("key").distinct(), "exact-distinct")
+    directory = grow_directory(distinct, capacity, owners, distinct.count())
     normal = texts(docs, id_col, text_col).select("doc_id", _normal(F.col("text")).alias("normal"))
-    normal = normal.withColumn("key", _key(F.sha2("normal", 256))).join(one_key.where("rows > 1").select("key"), "key", "left_semi")
-    chains = _routed(normal, directory).groupBy("owner", "bucket", "key", "normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chains = chains.select("key", F.octet_length("normal").cast("long").alias("n_bytes"), F.unhex(F.sha2("normal", 256)).alias("sha"), "keep_id", "group_size", "bucket", "owner")
-    chain = F.row_number().over(Window.partitionBy("owner", "bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "sha"))
+    placed = _routed(normal.withColumn("key", _key(F.sha2("normal", 256))), directory)
+    chains = placed.groupBy("owner", "bucket", "key", "normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     columns = ["owner", "bucket", "key", "chain", "n_bytes", "sha", "keep_id", "group_size"]
-    table = lone.withColumn("chain", F.lit(1)).select(columns).unionByName(chains.withColumn("chain", chain).select(columns))
+    entries = stored(chains.select("owner", "bucket", "key", F.octet_length("normal").cast("long").alias("n_bytes"), F.unhex(F.sha2("normal", 256)).alias("sha"), "keep_id", "group_size"), "exact-entries")
+    chain = F.row_number().over(Window.partitionBy("owner", "bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "sha"))
+    table = entries.withColumn("chain", chain).select(columns)
     path = new_path(spark, "exact-index")
     table.repartitionByRange(owners, "owner", "bucket", "key").sortWithinPartitions("owner", "bucket", "key", "chain").write.parquet(path)
     return ExactIndex(path, directory, spark.read.schema(table.schema).parquet(path))
