@@ -8,6 +8,7 @@
    distinct surrounding of a repeated anchor goes on (mark F).
 3. F anchors fetch the symbols of the windows they stand for; the operator's own method (radix passes or suffix
    trees) finds the equal windows among those that share an anchor.
+   Surroundings and hot windows are equal when two 64-bit fingerprints over independent symbol values are.
 4. R and window marks meet their documents again, and the covered symbols are removed.
 
 Equal surroundings collapse in the map task, so a passage that a third of all documents share ships one row a
@@ -128,7 +129,7 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, task: Task, sums: np.ndarray
     length, gram, n = task.length, task.gram, len(codes)
     none = np.empty(0, np.int64)
     if n < length:
-        return dict.fromkeys(("text", "at", "lo", "hi"), none) | dict.fromkeys(("h", "around"), none.view(np.uint64))
+        return dict.fromkeys(("text", "at", "lo", "hi"), none) | dict.fromkeys(("h", "around", "again"), none.view(np.uint64))
     sums = W.prefix_sums(codes) if sums is None else sums
     place = np.arange(n - gram + 1)
     h = W.run_hashes(sums, place, place + gram)
@@ -146,7 +147,8 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, task: Task, sums: np.ndarray
     text = np.searchsorted(offsets, at, side="right") - 1
     left, right = np.maximum(offsets[text], at - task.reach), np.minimum(offsets[text + 1], at + length)
     around = W.mix(W.run_hashes(sums, left, right) + (at - left).astype(np.uint64) * _ODD)
-    return {"text": text, "at": at, "lo": lo, "hi": hi, "h": h[at], "around": around}
+    again = W.run_hashes(W.prefix_sums(W.mix(codes)), left, right)
+    return {"text": text, "at": at, "lo": lo, "hi": hi, "h": h[at], "around": around, "again": again}
 
 
 def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -182,7 +184,8 @@ def collapse(first_keys: list[np.ndarray], key: np.ndarray, at: np.ndarray, ever
     return order, new, marked, (many[group] if len(order) else np.empty(0, bool))
 
 
-_ANCHOR = (np.uint32, np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8)  # h, around, key, at, at-lo, at-hi, flags
+# h, surrounding (two lanes), key, at, at-lo, at-hi, flags
+_ANCHOR = (np.uint32, np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8)
 _SEVERAL, _KNOWN = 1, 2
 
 
@@ -193,7 +196,7 @@ def _map(task: Task, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, i
             codes, offsets = task.symbols(data, text_offsets)
             x = anchors(codes, offsets, task)
             key, at = keys[row + x["text"]], x["at"] - offsets[x["text"]]
-            order, new, marked, several = collapse([x["h"], x["around"]], key, at, task.every)
+            order, new, marked, several = collapse([x["h"], x["around"], x["again"]], key, at, task.every)
             if marked.any():
                 yield from _dealt(R, task.anchor_buckets + doc_bucket(key[order][marked], 64), key[order][marked], at[order][marked].astype(np.uint32))
             go = order[new]
@@ -206,7 +209,7 @@ def _map(task: Task, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, i
             bucket[crowd & ~lead] = (x["around"][go] % np.uint64(task.anchor_buckets)).astype(np.int32)[crowd & ~lead]
             flags[crowd] |= _KNOWN
             yield from _dealt(
-                0, bucket, h.astype(np.uint32), x["around"][go], key[go], at[go].astype(np.uint32), (x["at"] - x["lo"])[go].astype(np.uint8), (x["at"] - x["hi"])[go].astype(np.uint8), flags
+                0, bucket, h.astype(np.uint32), x["around"][go], x["again"][go], key[go], at[go].astype(np.uint32), (x["at"] - x["lo"])[go].astype(np.uint8), (x["at"] - x["hi"])[go].astype(np.uint8), flags
             )
 
 
@@ -219,15 +222,15 @@ def _meet(task: Task, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
     rows = [p for k, p in zip(kinds, packed, strict=True) if k == 0]
     if not rows:
         return
-    h, around, key, at, dlo, dhi, flags = gathered(rows, *_ANCHOR)
+    h, around, again, key, at, dlo, dhi, flags = gathered(rows, *_ANCHOR)
     # Anchors with one row end here, before the full sort.
     rank = np.argsort(h, kind="stable")
     lone = _runs(h[rank])
     lone &= np.append(lone[1:], True)
     stay = np.ones(len(h), bool)
     stay[rank[lone]] = (flags[rank[lone]] & _KNOWN) > 0
-    h, around, key, at, dlo, dhi, flags = (a[stay] for a in (h, around, key, at, dlo, dhi, flags))
-    order, new, marked, _ = collapse([h, around], key, at, task.every, flags & _SEVERAL)
+    h, around, again, key, at, dlo, dhi, flags = (a[stay] for a in (h, around, again, key, at, dlo, dhi, flags))
+    order, new, marked, _ = collapse([h, around, again], key, at, task.every, flags & _SEVERAL)
     if marked.any():
         yield from _dealt(R, doc_bucket(key[order][marked], task.doc_buckets), key[order][marked], at[order][marked])
     h_new = _runs(h[order])
@@ -288,7 +291,8 @@ def _fetch(task: Task, docs: pa.Table, marks: pa.Table) -> Iterator[tuple[int, i
         some = np.flatnonzero(is_hot)
         if len(some):
             one, owner, shift = _ranges(start[some], count[some]), np.repeat(k[some], count[some]), np.repeat(base[some], count[some])
-            warm.append((W.run_hashes(sums, shift + one, shift + one + task.length), owner, one))
+            second = W.prefix_sums(W.mix(codes))
+            warm.append((W.run_hashes(sums, shift + one, shift + one + task.length), W.run_hashes(second, shift + one, shift + one + task.length), owner, one))
     if cold:
         bucket, k, start, count, symbols = (np.concatenate(x) for x in zip(*cold, strict=True))
         size = count + task.length - 1
@@ -297,12 +301,12 @@ def _fetch(task: Task, docs: pa.Table, marks: pa.Table) -> Iterator[tuple[int, i
             [some] = unpack(raw, np.int64)
             yield FINE, b, pack(k[some], start[some].astype(np.uint32), count[some].astype(np.uint16), symbols[_ranges(begin[some], size[some])])
     if warm:
-        print_, owner, one = (np.concatenate(x) for x in zip(*warm, strict=True))
-        order, new, marked, several = collapse([print_], owner, one, task.every)
+        print_, again, owner, one = (np.concatenate(x) for x in zip(*warm, strict=True))
+        order, new, marked, several = collapse([print_, again], owner, one, task.every)
         if marked.any():
             yield from _dealt(LOCAL, task.anchor_buckets + doc_bucket(owner[order][marked], 64), owner[order][marked], one[order][marked].astype(np.uint32))
         go = order[new]
-        yield from _dealt(WINDOWS, (print_[go] % np.uint64(task.anchor_buckets)).astype(np.int32), print_[go], owner[go], one[go].astype(np.uint32), several[new].astype(np.uint8))
+        yield from _dealt(WINDOWS, (print_[go] % np.uint64(task.anchor_buckets)).astype(np.int32), print_[go], again[go], owner[go], one[go].astype(np.uint32), several[new].astype(np.uint8))
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -331,8 +335,8 @@ def _resolve(task: Task, kind: np.dtype, find: Resolver, table: pa.Table) -> Ite
     if by[LOCAL]:
         found.append(tuple(gathered(by[LOCAL], np.int64, np.uint32)))
     if by[WINDOWS]:
-        h, key, start, several = gathered(by[WINDOWS], np.uint64, np.int64, np.uint32, np.uint8)
-        order, _, marked, _ = collapse([h], key, start, task.every, several)
+        h, again, key, start, several = gathered(by[WINDOWS], np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+        order, _, marked, _ = collapse([h, again], key, start, task.every, several)
         found.append((key[order][marked], start[order][marked]))
     if by[FINE]:
         key, start, count, symbols = gathered(by[FINE], np.int64, np.uint32, np.uint16, kind)

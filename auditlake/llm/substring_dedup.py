@@ -7,7 +7,7 @@ group the depth-limited suffix tree is held as sorted suffixes with the depths o
 neighbours (their common prefix lengths); internal nodes of depth 35 or more are the repeats.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, compared by 64-bit fingerprints.  Defined results: null
-text has no words; rows that repeat an id are told apart by text (identical rows are copies of each other, so
+text has no words; very long texts are read whole; rows that repeat an id are told apart by text (identical rows are copies of each other, so
 their long passages go from all of them); an empty table gives an empty result; columns other than id and
 text are ignored.
 """

@@ -1,11 +1,11 @@
 """Suffix-array dedup: remove bytes covered by a 100-byte string that also starts earlier.
 
 Suffixes that can repeat (see `repeats`) are ordered only through the threshold's bytes, by most-significant-
-digit passes: a pass splits each group of suffixes by the fingerprint of their next DIGIT bytes and drops the
-suffixes that are alone.  What is left in one group after the last pass are exactly the repeated windows; the
+digit passes: a pass orders each group of suffixes by their next DIGIT bytes, splits it where these differ and
+drops the suffixes that are alone.  What is left in one group after the last pass are exactly the repeated windows; the
 first of a group in the order of (document, start) stays.
 
-Defined results: null text is empty; texts shorter than the threshold lose nothing; rows with equal or null
+Defined results: null text is empty; very long texts are read whole; texts shorter than the threshold lose nothing; rows with equal or null
 ids are ordered by id and then text (nulls first); identical rows are copies of each other; an empty table
 gives an empty result; columns other than id and text are ignored.  Remaining bytes need not be valid UTF-8.
 """
@@ -24,8 +24,8 @@ from auditlake.llm.common import read_table, texts
 
 THRESHOLD = 100
 GRAM = 24
-#: Bytes of one radix digit: the threshold takes this many passes of the array.
-DIGITS = 3
+#: Bytes of one radix digit.
+DIGIT = 8
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,18 +37,25 @@ def byte_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def radix_groups(symbols: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that share their first `length` bytes with another: their numbers, and their groups' fingerprints."""
-    sums = W.prefix_sums(W.BYTE_CODE[symbols])
-    alive, group = np.arange(len(where)), np.zeros(len(where), np.uint64)
-    cuts = np.linspace(0, length, DIGITS + 1).astype(int)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        digit = W.run_hashes(sums, where[alive] + a, where[alive] + b)
-        group = W.mix(group + digit)
-        order = np.argsort(group)
-        group, alive = group[order], alive[order]
-        new = X._runs(group)
+    """Suffixes that share their first `length` bytes with another, in lexicographic order: their numbers, and groups.
+
+    A pass orders each group by the next DIGIT bytes as they are, most significant first, splits it where they
+    differ, and drops the suffixes that are alone.
+    """
+    padded = np.concatenate([symbols, np.zeros(DIGIT, np.uint8)])
+    digits = np.zeros(len(symbols), np.uint64)
+    for k in range(DIGIT):
+        digits = (digits << np.uint64(8)) | padded[k : k + len(symbols)]
+    alive, group = np.arange(len(where)), np.zeros(len(where), np.int64)
+    for depth in range(0, length, DIGIT):
+        digit = digits[where[alive] + depth]
+        if depth + DIGIT > length:
+            digit = digit >> np.uint64(8 * (depth + DIGIT - length))
+        order = np.lexsort((digit, group))
+        group, alive, digit = group[order], alive[order], digit[order]
+        new = X._runs(group, digit)
         shared = ~(new & np.append(new[1:], True)) if len(new) else new
-        group, alive = group[shared], alive[shared]
+        group, alive = np.cumsum(new)[shared], alive[shared]
     return alive, group
 
 

@@ -91,6 +91,19 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(tuple, T.substring_dedup(frame(spark, docs), window=35).collect()), key=str) == brute_words(docs, 35)
 
 
+def test_words_of_one_polynomial(spark):
+    """Windows that differ in one word, which every polynomial modulo 2**64 takes for equal."""
+    docs = []
+    for n in (1024, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        for middle in (word, word.translate(str.maketrans("ab", "ba"))):
+            docs.append((len(docs), " ".join([f"{n}w{i}" for i in range(20)] + [middle] + [f"{n}v{i}" for i in range(20)])))
+    assert sorted(map(tuple, T.substring_dedup(frame(spark, docs), window=35).collect()), key=str) == brute_words(docs, 35)
+    assert sorted(map(tuple, S.suffix_dedup(frame(spark, docs)).collect()), key=str) == brute_bytes(docs)
+
+
 def test_empty_table(spark):
     assert S.suffix_dedup(frame(spark, []).limit(0)).count() == 0
     assert T.substring_dedup(frame(spark, []).limit(0)).count() == 0
