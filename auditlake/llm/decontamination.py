@@ -6,9 +6,9 @@ item with enough seeds to reach the threshold, tiling repeatedly takes the longe
 tokens, found by running Karp-Rabin matching, and marks it in both; the covered
 share of the item's tokens decides, wherever in the document and in whatever order the passages stand.
 
-The benchmark is a stated query set: it is read in blocks of at most BLOCK_CHARS characters, each block's
-seed table is broadcast (bounded by that size), and every whole document meets every block where it lies;
-only ids and coverages move.
+The benchmark is a stated query set: it is read in blocks of at most BLOCK_CHARS characters (one more item at
+most), one block's seed table is broadcast at a time, and every whole document meets every block where it
+lies; only ids and coverages move.
 
 Defined results: null text is empty and matches nothing; items of fewer than SEED tokens match when their
 whole token sequence occurs; items without tokens match nothing; of items with equal coverage the smallest
@@ -21,13 +21,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import read_table
+from auditlake.llm.common import read_table, stored
 
 SEED = 5
 #: Share of an item's tokens that tiles must cover.
@@ -197,10 +199,9 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
-def contaminated_by(items: list[tuple[int, str]], text: F.Column, threshold: float = THRESHOLD, seed: int = SEED) -> F.Column:
-    """Array of (coverage, item_id) of one block's items that the text covers, best first."""
-    spark = SparkSession.getActiveSession()
-    shared = spark.sparkContext.broadcast(sorted(items))
+def contaminated_by(items: list[tuple[int, str]], text: F.Column, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[F.Column, Broadcast]:
+    """Array of (coverage, item_id) of one block's items that the text covers, best first; and the broadcast block."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(sorted(items))
     built: dict[int, ItemBlock] = {}
 
     @F.arrow_udf("array<struct<coverage:double,item_id:bigint>>")
@@ -213,15 +214,34 @@ def contaminated_by(items: list[tuple[int, str]], text: F.Column, threshold: flo
             out.append([{"coverage": c, "item_id": i} for i, c in sorted(hits, key=lambda x: (-x[1], x[0]))])
         return pa.array(out, pa.list_(pa.struct([("coverage", pa.float64()), ("item_id", pa.int64())])))
 
-    return judge(text)
+    return judge(text), shared
+
+
+ROW = "_decontamination_row"
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, block_chars: int = BLOCK_CHARS, column: str = "_hits") -> DataFrame:
-    """docs with an array of (coverage, item_id): every item that a document covers, from all blocks."""
-    kind = "array<struct<coverage:double,item_id:bigint>>"
-    blocks = [contaminated_by(items, F.col("text"), threshold, seed) for items in item_blocks(benchmark, block_chars)]
-    hits = F.concat(*blocks) if blocks else F.array().cast(kind)
-    return docs.withColumn(column, hits)
+    """docs with an array of (coverage, item_id): every item that a document covers, from all blocks.
+
+    A benchmark of one block is met in the pass over the documents that the caller runs.  Of a larger one a single
+    block is in memory at a time: each block's hits are stored before the next block is read.
+    """
+    blocks = item_blocks(benchmark, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.withColumn(column, F.array().cast("array<struct<coverage:double,item_id:bigint>>"))
+    if second is None:
+        return docs.withColumn(column, contaminated_by(first, F.col("text"), threshold, seed)[0])
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontamination-rows")
+    hits = None
+    for items in chain([first, second], blocks):
+        judged, shared = contaminated_by(items, F.col("text"), threshold, seed)
+        part = stored(rows.select(ROW, judged.alias("h")).where(F.size("h") > 0), "decontamination-hits")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    found = hits.groupBy(ROW).agg(F.flatten(F.collect_list("h")).alias(column))
+    out = rows.join(found, ROW, "left").withColumn(column, F.coalesce(column, F.array().cast(found.schema[column].dataType)))
+    return out.select(*docs.columns, column)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,9 @@ def test_reordered_partial_and_clean(spark):
     bf = spark.createDataFrame(bench, "item_id long, text string")
     got = D.annotate(df, bf).select("doc_id", "_hits").collect()
     ids = [(r["doc_id"], [h["item_id"] for h in r["_hits"]]) for r in got]
-    assert ids == [(1, [10, 14]), (2, [10, 14]), (3, []), (4, []), (5, []), (6, []), (7, [11]), (7, [11]), (8, [10, 14])]
+    assert sorted(ids) == ids == [(1, [10, 14]), (2, [10, 14]), (3, []), (4, []), (5, []), (6, []), (7, [11]), (7, [11]), (8, [10, 14])]
     small = D.annotate(df, bf, block_chars=10).select("doc_id", F.array_sort(F.transform("_hits", lambda h: h["item_id"])).alias("i")).collect()
-    assert [(r["doc_id"], r["i"]) for r in small] == ids  # blocks change nothing
+    assert sorted((r["doc_id"], r["i"]) for r in small) == ids  # blocks change nothing
 
 
 def test_empty_sides(spark):
