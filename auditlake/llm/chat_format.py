@@ -94,11 +94,16 @@ def assemble(roles: pa.Array, contents: pa.Array) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
+def borders(ids: pa.Array) -> np.ndarray:
+    """Places where another conversation starts, the first one left out; a null id equals no other id."""
+    null, key = np.asarray(ids.is_null().cast(pa.int8())), np.asarray(ids.fill_null(0))
+    return np.flatnonzero((key[1:] != key[:-1]) | (null[1:] != null[:-1])) + 1
+
+
 def _format_batch(ids: pa.Array, roles: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """Whole conversations, in order."""
     n = len(ids)
-    key = np.asarray(ids.fill_null(-(1 << 63)))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.concatenate([[0], borders(ids)])
     last = np.append(first[1:], n)
     escaped, contents = escape_role(roles), escape(texts)
     out, starts = assemble(escaped, contents)
@@ -139,8 +144,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         ids, roles, texts = (table[c].combine_chunks() for c in ("conv_id", "role", "text"))
         roles, texts = roles.cast(pa.large_string()), texts.cast(pa.large_string())
-        key = np.asarray(ids.fill_null(-(1 << 63)))
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        cut = np.concatenate([[0], borders(ids)])
         size = np.asarray(pc.binary_length(texts)) + np.asarray(pc.binary_length(roles)) + 32
         for a, b in _pieces(len(ids), size, cut):
             yield _format_batch(ids.slice(a, b - a), roles.slice(a, b - a), texts.slice(a, b - a))
@@ -149,8 +153,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         ids = batch.column(0)
-        key = np.asarray(ids.fill_null(-(1 << 63)))
-        border = np.flatnonzero(key[1:] != key[:-1])
+        border = borders(ids) - 1
         if waiting and waiting[-1].column(0)[0] != ids[0] and not (waiting[-1].column(0)[0].as_py() is None and ids[0].as_py() is None):
             yield from emit(waiting)
             waiting = []
