@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,8 +23,10 @@ LANGUAGE_EXTENSIONS = {
     "javascript": ("js", "jsx", "ts", "tsx", "mjs", "cjs"), "typescript": ("js", "jsx", "ts", "tsx", "mjs", "cjs"),
     "python": ("py",), "rust": ("rs",), "java": ("java",), "go": ("go",), "c": ("c", "h"), "cpp": ("cpp", "hpp", "cc", "cxx"),
 }
-#: Never part of text that is scanned; replaced before matches are marked with it.
-MARK = "\x01"
+#: Noncharacters that set off matches; a file that holds them is scanned with spaces in their places.
+START, STOP = "\ufdd0", "\ufdd1"
+#: Comments and string literals of the languages with structural rules.
+NOT_CODE = r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 FINDING = ("file_path", "line_start", "line_end", "detector", "vuln_type", "severity", "description")
 
 
@@ -52,31 +55,47 @@ def applicable(files: DataFrame, rules: DataFrame, file_key: str = "path") -> Da
     return some.unionByName(every)
 
 
-def match_spans(content: Column, pattern: str) -> Column:
-    """array<struct<text, line_start, line_end>> of all non-overlapping matches, left to right.
+def match_spans(content: Column, pattern: str, besides: str | None = None) -> Column:
+    """array<struct<line_start, line_end>> of all non-overlapping matches, left to right.
 
-    Matches are set off by a mark and the text is split there: odd pieces are matches, and line feeds counted
-    up to a piece give its line.
+    Matches are set off by marks and the marked text is split at line feeds: the n-th opening and the n-th closing
+    mark belong together, and the line that holds one is its place in the array, so a file costs one pass however
+    many matches it has.  Text that matches `besides` first is passed over.
     """
-    clean = F.replace(content, F.lit(MARK), F.lit(" "))
-    pieces = F.split(F.regexp_replace(clean, f"({java_pattern(pattern)})", f"{MARK}$1{MARK}"), MARK, -1)
-    located = F.aggregate(
-        pieces,
-        F.struct(F.lit(1).alias("line"), F.lit(False).alias("is_match"), F.array().cast("array<struct<text:string,line_start:int,line_end:int>>").alias("found")),
-        lambda acc, piece: F.struct(
-            (acc["line"] + S.newline_count(piece)).alias("line"),
-            (~acc["is_match"]).alias("is_match"),
-            F.when(acc["is_match"], F.array_append(acc["found"], F.struct(piece.alias("text"), acc["line"].alias("line_start"), (acc["line"] + S.newline_count(piece)).alias("line_end"))))
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-    )
-    return F.when(content.rlike(java_pattern(pattern)), located["found"]).otherwise(F.array().cast("array<struct<text:string,line_start:int,line_end:int>>"))
+    clean = F.translate(content, START + STOP, "  ")
+    if besides is None:
+        marked = F.regexp_replace(clean, f"({java_pattern(pattern)})", f"{START}$1{STOP}")
+    else:
+        marked = F.regexp_replace(clean, f"((?d){besides})|({java_pattern(pattern)})", f"$1{START}$2{STOP}")
+        marked = F.replace(marked, F.lit(START + STOP), F.lit(""))
+    lines = F.split(marked, "\n", -1)
+
+    def places(mark: str) -> Column:
+        return F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i + 1, (F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))).cast("int"))))
+
+    located = F.transform(F.arrays_zip(places(START).alias("line_start"), places(STOP).alias("line_end")), lambda x: F.struct(x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
+    return F.when(content.rlike(java_pattern(pattern)), located).otherwise(F.array().cast("array<struct<line_start:int,line_end:int>>"))
+
+
+_CALL = re.compile(r"""\(call_expression\s+function:\s*(?:\(identifier\)\s*@(\w+)|\(member_expression\s+object:\s*\(identifier\)\s*@(\w+)\s+property:\s*\(property_identifier\)\s*@(\w+)\s*\))((?:\s*\(\#eq\?\s+@\w+\s+"[^"]*"\s*\))+)\s*\)\s*\Z""")
+
+
+def call_pattern(query: str) -> str:
+    """The call that a structural query describes: of a name, or of an object's property, each told by equality.
+
+    Other structural queries are refused: there is no syntax tree to run them on.
+    """
+    m = _CALL.match(query.strip())
+    names = dict(re.findall(r'@(\w+)\s+"([^"]*)"', m[4])) if m else {}
+    parts = [names.get(c) for c in ((m[1],) if m[1] else (m[2], m[3]))] if m else [None]
+    if any(p is None for p in parts):
+        raise ValueError(f"structural query is not supported: {query}")
+    return r"(?<![\w.$])" + r"\s*\.\s*".join(re.escape(p) for p in parts) + r"\s*\("
 
 
 def finding_columns(rule: dict, kind: str = "RegexRule") -> list[Column]:
     return [
-        F.lit(f"{kind}:{rule['id']}").alias("detector"), F.lit(rule.get("cwe") or "Unknown").alias("vuln_type"),
+        F.lit(f"{kind}: {rule['id']}").alias("detector"), F.lit(rule.get("cwe") or "Unknown").alias("vuln_type"),
         F.lower(F.lit(rule["severity"])).alias("severity"), F.lit(rule.get("description") or "").alias("description"),
     ]
 
@@ -88,12 +107,16 @@ def _located(spans: Column, rule: Column) -> Column:
 def scan_content(files: DataFrame, rules: list[dict]) -> DataFrame:
     """Findings of whole contents: one pass over the files, one literal expression for each active rule.
 
-    A structural rule is approximated by the call it describes (`console.log(`).
+    A structural rule is read as the call that it describes (see `call_pattern`), located by its first name; calls
+    in comments and string literals are none.
     """
     found = []
     for rule in active_rules(rules):
-        pattern, kind = (r"console\s*\.\s*log\s*\(", "ASTRule") if rule.get("query") else (rule["pattern"], "RegexRule")
-        spans = match_spans(F.col("content"), pattern)
+        if rule.get("query"):
+            kind, spans = "ASTRule", match_spans(F.col("content"), call_pattern(rule["query"]), NOT_CODE)
+            spans = F.transform(spans, lambda s: F.struct(s["line_start"].alias("line_start"), s["line_start"].alias("line_end")))
+        else:
+            kind, spans = "RegexRule", match_spans(F.col("content"), rule["pattern"])
         exts = extensions_of(rule["language"])
         if exts is not None:
             spans = F.when(F.col("ext").isin(*exts), spans).otherwise(F.slice(spans, 1, 0))

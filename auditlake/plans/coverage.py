@@ -55,14 +55,8 @@ def knowledge_module_lookup(spark, sf):
     return SF.knowledge_modules(I.files(spark, sf)).select("module", "path")
 
 
-@query("manifest_lines", f"WITH l AS (SELECT path AS file, trim(unnest(string_split(content, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM ({I.FILES}) WHERE ext = 'md') SELECT file, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' AND line NOT LIKE '#%' GROUP BY file")
+@query("manifest_lines", f"WITH l AS (SELECT path AS file, trim(unnest(string_split(content, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM ({I.FILES})) SELECT file, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' AND line NOT LIKE '#%' GROUP BY file")
 def manifest_lines(spark, sf):
-    files = I.files(spark, sf).where("ext = 'md'").select(F.concat("path", F.lit("/requirements.txt")).alias("path"), "content")
-    return R.dependencies(files).groupBy(F.regexp_replace("file", "/requirements.txt$", "").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("manifest_lines_all", f"WITH l AS (SELECT path AS file, trim(unnest(string_split(content, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM ({I.FILES})) SELECT file, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' AND line NOT LIKE '#%' GROUP BY file")
-def manifest_lines_all(spark, sf):
     """Every document as a requirements file."""
     files = I.files(spark, sf).select(F.concat("path", F.lit("/requirements.txt")).alias("path"), "content")
     return R.dependencies(files).groupBy(F.regexp_replace("file", "/requirements.txt$", "").alias("file")).agg(F.count(F.lit(1)).alias("n"))
@@ -258,15 +252,8 @@ def relevant_modules(spark, sf):
     return R.relevant_modules(names, modules).select("vuln_type")
 
 
-@query("edge_handles", "SELECT l_orderkey AS source, l_partkey AS target, CASE WHEN abs(l_partkey - l_orderkey) > abs(l_partkey % 7 - l_orderkey % 7) THEN CASE WHEN l_partkey > l_orderkey THEN 'right' ELSE 'left' END ELSE CASE WHEN l_partkey % 7 > l_orderkey % 7 THEN 'bottom' ELSE 'top' END END AS source_handle FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 1000")
+@query("edge_handles", "SELECT l_orderkey AS source, l_partkey AS target, CASE WHEN abs(l_partkey - l_orderkey) > abs(l_partkey % 7 - l_orderkey % 7) THEN CASE WHEN l_partkey > l_orderkey THEN 'right' ELSE 'left' END ELSE CASE WHEN l_partkey % 7 > l_orderkey % 7 THEN 'bottom' ELSE 'top' END END AS source_handle FROM lineitem")
 def edge_handles(spark, sf):
-    l = I.table(spark, sf, "lineitem").where("l_linenumber = 1 and l_orderkey < 1000").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))  # noqa: E741
-    ids = l.select(F.col("source").alias("id")).union(l.select("target")).distinct()
-    return N.placed_edges(l, ids.select("id", F.col("id").alias("x"), (F.col("id") % 7).alias("y"))).select("source", "target", "source_handle")
-
-
-@query("edge_handles_all", "SELECT l_orderkey AS source, l_partkey AS target, CASE WHEN abs(l_partkey - l_orderkey) > abs(l_partkey % 7 - l_orderkey % 7) THEN CASE WHEN l_partkey > l_orderkey THEN 'right' ELSE 'left' END ELSE CASE WHEN l_partkey % 7 > l_orderkey % 7 THEN 'bottom' ELSE 'top' END END AS source_handle FROM lineitem")
-def edge_handles_all(spark, sf):
     """Every line item is an edge."""
     l = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))  # noqa: E741
     ids = l.select(F.col("source").alias("id")).union(l.select("target")).distinct()
@@ -278,14 +265,6 @@ def agent_tree(spark, sf):
     return N.agent_tree(I.agents(spark, sf)).select("agent_id", "root", "depth")
 
 
-@query("git_change_contents", f"SELECT path, 'M' AS status, CAST(len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) OR content = '' THEN 1 ELSE 0 END AS BIGINT) AS n FROM ({I.FILES}) WHERE ext = 'rs' AND content NOT LIKE '%' || chr(13) || '%'")
-def git_change_contents(spark, sf):
-    """Every line of a file that is unchanged on both sides is one Equal line."""
-    f = I.files(spark, sf).where("ext = 'rs'").where(~F.contains("content", F.lit("\r")))
-    changes = f.select(F.lit("M").alias("status"), "path", F.lit(None).cast("string").alias("old_path"))
-    return D.compare_changes(changes, f, f).select("path", "status", F.size("lines").cast("long").alias("n"))
-
-
 @query("vector_context", "SELECT string_agg(substr(text, 1, 200), chr(10) || chr(10) ORDER BY doc_id) AS context FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 3)")
 def vector_context(spark, sf):
     return V.context_text(I.table(spark, sf, "documents").select((-F.col("doc_id")).cast("double").alias("score"), "text").orderBy(F.col("score").desc()).limit(3))

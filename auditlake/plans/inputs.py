@@ -85,19 +85,10 @@ AGENTS = "SELECT c_custkey AS agent_id, lower(c_mktsegment) AS agent_type, CASE
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites made from line items: supplier 'calls' a function of the part."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(F.concat(F.lit("f"), (F.col("l_suppkey") % 500).cast("string")).alias("caller"), F.concat(F.lit("f"), (F.col("l_partkey") * 13 % 500).cast("string")).alias("callee"), F.concat(F.lit("src/"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_linenumber").cast("long").alias("line")).where("line = 1")
-
-
-CALLS = "SELECT 'f'||(l_suppkey%500) AS caller, 'f'||(l_partkey*13%500) AS callee, 'src/'||l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE l_linenumber=1"
-
-
-def all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call sites made from all line items."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.select(F.concat(F.lit("f"), (F.col("l_suppkey") % 500).cast("string")).alias("caller"), F.concat(F.lit("f"), (F.col("l_partkey") * 13 % 500).cast("string")).alias("callee"), F.concat(F.lit("src/"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_linenumber").cast("long").alias("line"))
 
 
-ALL_CALLS = "SELECT 'f'||(l_suppkey%500) AS caller, 'f'||(l_partkey*13%500) AS callee, 'src/'||l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line FROM lineitem"
+CALLS = "SELECT 'f'||(l_suppkey%500) AS caller, 'f'||(l_partkey*13%500) AS callee, 'src/'||l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line FROM lineitem"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from auditlake.operators import symbols as Y
 from auditlake.operators import vectors as V
 from auditlake.operators import windows as W
 from auditlake.plans import inputs as I  # noqa: E741
+from auditlake.sources.builtin_rules import RULES
 from auditlake.sources import files as SF
 from auditlake.sources.rules import active_rules, rule_table
 
@@ -80,13 +81,13 @@ CONTENT_RULES = [
 ]
 
 
-def _content_sql(pattern: str, rule: dict, ext: str | None) -> str:
-    where = f"WHERE ext = '{ext}'" if ext else ""
-    return f"""SELECT path AS file_path, '{"RegexRule:" + rule["id"]}' AS detector, '{rule["cwe"] or "Unknown"}' AS vuln_type, '{rule["severity"].lower()}' AS severity,
+def _content_sql(pattern: str, rule: dict, *exts: str) -> str:
+    where = f"WHERE ext IN ({', '.join(repr(e) for e in exts)})" if exts else ""
+    return f"""SELECT path AS file_path, '{"RegexRule: " + rule["id"]}' AS detector, '{rule["cwe"] or "Unknown"}' AS vuln_type, '{rule["severity"].lower()}' AS severity,
  CAST(sum(len(regexp_extract_all(content, '{pattern}'))) AS BIGINT) AS n FROM ({I.FILES}) {where} GROUP BY ALL HAVING n > 0"""
 
 
-@query("scan_rules_content", _content_sql(r"(?:token|secret|password|api_key) *[=:]\s*[^ \n]+", CONTENT_RULES[0], None) + " UNION ALL " + _content_sql("[0-9]{12,}", CONTENT_RULES[1], "py"))
+@query("scan_rules_content", _content_sql(r"(?:token|secret|password|api_key) *[=:]\s*[^ \n]+", CONTENT_RULES[0]) + " UNION ALL " + _content_sql("[0-9]{12,}", CONTENT_RULES[1], "py"))
 def scan_rules_content(spark, sf):
     """Whole-content matches, counted by file and rule."""
     return X.scan_content(I.files(spark, sf), CONTENT_RULES).groupBy("file_path", "detector", "vuln_type", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -99,12 +100,32 @@ def scan_multiline_spans(spark, sf):
     return X.scan_content(I.files(spark, sf), [rule]).select("file_path", "line_start", "line_end")
 
 
-@query("scan_shipped_rules", f"""WITH f AS ({I.FILES}) SELECT path AS file_path, 'RegexRule:sensitive-info-leak' AS detector, CAST(len(regexp_extract_all(content, '(?i)(?:api_key|apikey|secret|token|credential|password|passwd|pwd|private_key|privatekey|auth_token|access_token|session_token|refresh_token)\\s*=\\s*[''\"][^''\"]{{10,}}[''\"]')) AS BIGINT) AS n FROM f WHERE n > 0""")
+_PATTERN_RULES = [r for r in active_rules(RULES) if not r.get("query")]
+
+
+@query("scan_shipped_rules", " UNION ALL ".join(_content_sql(r["pattern"].replace("'", "''"), r, *(X.extensions_of(r["language"]) or ())) for r in _PATTERN_RULES))
 def scan_shipped_rules(spark, sf):
-    from auditlake.sources.builtin_rules import RULES
+    """All active shipped pattern rules over every file, counted by file and rule."""
+    return X.scan_content(I.files(spark, sf), _PATTERN_RULES).groupBy("file_path", "detector", "vuln_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Structural rules: calls in code, not in comments or strings.
+CALL_RULES = [
+    {"id": "call-eval", "name": "e", "description": "", "severity": "high", "language": "all", "cwe": None, "query": '(call_expression function: (identifier) @f (#eq? @f "eval"))'},
+    {"id": "log-call", "name": "l", "description": "", "severity": "low", "language": "javascript", "cwe": None, "query": '(call_expression function: (member_expression object: (identifier) @o property: (property_identifier) @p) (#eq? @o "console") (#eq? @p "log"))'},
+]
 
-    rules = [r for r in RULES if r["id"] == "sensitive-info-leak"]
-    return X.scan_content(I.files(spark, sf), rules).groupBy("file_path", "detector").agg(F.count(F.lit(1)).alias("n"))
+
+_FEEDS = "CAST(2 + length(coalesce(content, '')) - length(replace(coalesce(content, ''), chr(10), '')) AS BIGINT)"
+
+
+@query("scan_structural_rules", f"""SELECT path AS file_path, {_FEEDS} AS line_start, 'ASTRule: call-eval' AS detector FROM ({I.FILES})
+ UNION ALL SELECT path, {_FEEDS}, 'ASTRule: log-call' FROM ({I.FILES}) WHERE ext IN ('js','jsx','ts','tsx','mjs','cjs')""")
+def scan_structural_rules(spark, sf):
+    """Each file's text inside a comment, and calls around it: only the calls in code are found."""
+    said = F.regexp_replace(F.coalesce("content", F.lit("")), "[*/]", " ")
+    code = F.concat(F.lit("/* eval(1) "), said, F.lit(" */ s = 'eval(2)' // console.log(3)\neval (4); console.log(5); my.eval(6); reveal(7)"))
+    return X.scan_content(I.files(spark, sf).withColumn("content", code), CALL_RULES).select("file_path", "line_start", "detector")
 
 
 @query("scan_custom_by_extension", f"WITH lines AS ({_LINES}) SELECT path AS file, line, 'low' AS severity, 'number' AS message FROM lines WHERE path LIKE '%.js' AND regexp_matches(text, '[0-9]{{6,}}')")
@@ -212,13 +233,8 @@ def rules_filtered(spark, sf):
     return P.filter_rules(rule_table(spark), "", "medium").select("id")
 
 
-@query("severity_sorted", f"SELECT finding_id, severity, CAST({_RANK} AS INT) AS rank FROM ({I.FINDINGS}) ORDER BY {_RANK}, created_at DESC, finding_id LIMIT 100")
+@query("severity_sorted", f"SELECT finding_id, severity, CAST({_RANK} AS INT) AS rank FROM ({I.FINDINGS}) ORDER BY {_RANK}, created_at DESC, finding_id")
 def severity_sorted(spark, sf):
-    return T.by_severity(I.findings(spark, sf)).limit(100).select("finding_id", "severity", S.severity_rank(F.col("severity")).alias("rank"))
-
-
-@query("severity_sorted_all", f"SELECT finding_id, severity, CAST({_RANK} AS INT) AS rank FROM ({I.FINDINGS}) ORDER BY {_RANK}, created_at DESC, finding_id")
-def severity_sorted_all(spark, sf):
     """The whole order, as the surveyed query has no limit."""
     return T.by_severity(I.findings(spark, sf)).select("finding_id", "severity", S.severity_rank(F.col("severity")).alias("rank"))
 
@@ -417,13 +433,8 @@ def diff_summary(spark, sf):
     return D.diff_summary(D.compare_directories(a, b, detect_renames=False)).select("files", "added", "deleted", "unchanged")
 
 
-@query("whole_file_lines", f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) l WHERE path LIKE '%.rs' AND {_LAST} GROUP BY path")
+@query("whole_file_lines", f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) l WHERE {_LAST} GROUP BY path")
 def whole_file_lines(spark, sf):
-    return D.whole_file_lines(I.files(spark, sf).where("ext = 'rs'"), "Insert").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("whole_file_lines_all", f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) l WHERE {_LAST} GROUP BY path")
-def whole_file_lines_all(spark, sf):
     """Of files of every extension."""
     return D.whole_file_lines(I.files(spark, sf), "Insert").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -457,20 +468,6 @@ def call_graph_nodes(spark, sf):
     return N.call_graph(I.calls(spark, sf), "f1", 2)[0]
 
 
-_BFS_ALL = f"""WITH RECURSIVE e AS ({I.ALL_CALLS}), r(node, lvl) AS (SELECT 'f1', 0 UNION SELECT e.callee, r.lvl + 1 FROM r JOIN e ON e.caller = r.node WHERE r.lvl < 2),
- f AS (SELECT node, min(lvl) AS lvl FROM r GROUP BY node)"""
-
-
-@query("call_graph_edges_all", _BFS_ALL + " SELECT e.caller, e.callee, e.file, e.line, CAST(f.lvl AS INT) AS level FROM e JOIN f ON e.caller = f.node WHERE f.lvl < 2")
-def call_graph_edges_all(spark, sf):
-    return N.call_graph(I.all_calls(spark, sf), "f1", 2)[1]
-
-
-@query("call_graph_nodes_all", _BFS_ALL + " SELECT node FROM f")
-def call_graph_nodes_all(spark, sf):
-    return N.call_graph(I.all_calls(spark, sf), "f1", 2)[0]
-
-
 @query("class_hierarchy", f"""WITH RECURSIVE s AS (SELECT DISTINCT name, parent_classes[1] AS parent FROM ({I.SYMBOLS}) WHERE kind = 'Class'), u(name, depth) AS (SELECT 'N5', 0 UNION SELECT s.parent, u.depth + 1 FROM u JOIN s ON s.name = u.name WHERE s.parent IN (SELECT name FROM s) AND u.depth < 300),
  m AS (SELECT name, min(depth) AS depth FROM u GROUP BY name) SELECT 'parent' AS relation, name, CAST(depth AS INT) AS depth FROM m WHERE depth > 0 UNION ALL SELECT DISTINCT 'child', name, 1 FROM s WHERE parent = 'N5'""")
 def class_hierarchy(spark, sf):

@@ -17,8 +17,8 @@ def table(spark, sf_dir, name):
 
 
 def test_edge_handles_takes_every_line_item(spark, sf_dir):
-    rows = registry.QUERIES["edge_handles_all"](spark, sf_dir).collect()
-    assert len(rows) == table(spark, sf_dir, "lineitem").count() > registry.QUERIES["edge_handles"](spark, sf_dir).count()
+    rows = registry.QUERIES["edge_handles"](spark, sf_dir).collect()
+    assert len(rows) == table(spark, sf_dir, "lineitem").count()
     assert {r["source_handle"] for r in rows} >= {"left", "right"} and all(r["source_handle"] for r in rows)
 
 
@@ -28,9 +28,9 @@ def test_lines_of_files_of_every_extension(spark, sf_dir):
     def doc_id(path):
         return int(path.rsplit("/", 1)[1].split(".")[0])
 
-    got = {doc_id(r["path"]): r["n"] for r in registry.QUERIES["whole_file_lines_all"](spark, sf_dir).collect()}
+    got = {doc_id(r["path"]): r["n"] for r in registry.QUERIES["whole_file_lines"](spark, sf_dir).collect()}
     assert got == {k: len(t.removesuffix("\n").split("\n")) for k, t in texts.items() if t}
-    got = {doc_id(r["file"]): r["n"] for r in registry.QUERIES["manifest_lines_all"](spark, sf_dir).collect()}
+    got = {doc_id(r["file"]): r["n"] for r in registry.QUERIES["manifest_lines"](spark, sf_dir).collect()}
     want = {k: sum(bool(x.strip()) and not x.strip().startswith("#") for x in t.split("\n")) for k, t in texts.items()}
     assert got == {k: n for k, n in want.items() if n}
 
@@ -60,14 +60,14 @@ def test_call_graph_emits_every_call_site(spark, sf_dir):
         for caller, callee, _, _ in sites:
             if level.get(caller) == depth:
                 level.setdefault(callee, depth + 1)
-    edges = sorted(map(tuple, registry.QUERIES["call_graph_edges_all"](spark, sf_dir).select("caller", "callee", "file", "line", "level").collect()))
+    edges = sorted(map(tuple, registry.QUERIES["call_graph_edges"](spark, sf_dir).select("caller", "callee", "file", "line", "level").collect()))
     assert edges == sorted((*x, level[x[0]]) for x in sites if level.get(x[0], 2) < 2)
     assert {line for *_, line, _ in edges} > {1}
-    assert {r["node"] for r in registry.QUERIES["call_graph_nodes_all"](spark, sf_dir).collect()} == set(level)
+    assert {r["node"] for r in registry.QUERIES["call_graph_nodes"](spark, sf_dir).collect()} == set(level)
 
 
 def test_severity_order_is_whole(spark, sf_dir):
-    rows = registry.QUERIES["severity_sorted_all"](spark, sf_dir).collect()
+    rows = registry.QUERIES["severity_sorted"](spark, sf_dir).collect()
     orders = {r["o_orderkey"]: r["o_orderdate"] for r in table(spark, sf_dir, "orders").collect()}
     assert len(rows) == len(orders) > 100 and {r["finding_id"] for r in rows} == set(orders)
     place = [(r["rank"], -orders[r["finding_id"]].toordinal(), r["finding_id"]) for r in rows]
