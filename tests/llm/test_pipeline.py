@@ -52,4 +52,14 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert P.STAGES[-1][1](spark, docs, sf_dir).count() == 5
-    assert P.drop_copies(spark, docs, sf_dir).where(F.col("doc_id") == 3).count() == 2  # rows of one id stay together
+    assert P.drop_copies(spark, docs, sf_dir).where(F.col("doc_id") == 3).count() == 1  # of identical rows one stays
+
+
+def test_rows_are_judged_not_ids(spark, sf_dir):
+    """Rows that repeat an id with different texts, and copies without an id."""
+    unique = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "same text"), (3, "same text"), (3, unique), (None, "same text"), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, "same text"), (3, unique), (None, "no id")], key=str)
+    assert sorted(map(tuple, P.drop_copies(spark, docs, sf_dir).collect()), key=str) == want
+    assert sorted(map(tuple, P.drop_near_copies(spark, docs, sf_dir).collect()), key=str) == want
