@@ -19,7 +19,7 @@ def union_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def trimmed_lines(text: Column) -> Column:
     """The set of a text's lines, trimmed, without empty ones."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -159,6 +159,81 @@ def test_shortest_edit():
         assert sum(k != "Equal" for k, _, _ in steps) == edit_distance(a, b)
 
 
+def test_shortest_edit_in_linear_space():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = [rng.choice("abcdefgh") for _ in range(1500)]
+    b = [rng.choice("ijklmnop") if i % 2 else x for i, x in enumerate(a)]
+    tracemalloc.start()
+    steps = D.shortest_edit(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k != "Equal" for k, _, _ in steps) == edit_distance(a, b)
+    assert peak < 4 << 20
+
+
+def test_renames_with_common_lines(spark):
+    """Every file holds the same header lines, so only the rare lines can tell files apart."""
+    rng = random.Random(4)
+    head = [f"import {i}" for i in range(6)]
+    texts = {i: head + [f"{i} own {j}" for j in range(rng.randrange(1, 30))] for i in range(60)}
+    for i in range(60, 110):
+        texts[i] = texts[rng.randrange(60)][: rng.randrange(5, 34)] + [f"new {i}"] * rng.randrange(3)
+    rows = [(i, "\n".join(t)) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "path long, content string")
+    got = {r["path"]: (r["old_path"], round(r["similarity"], 9)) for r in D.renames(df.where("path >= 60"), df.where("path < 60")).collect()}
+    want = {}
+    for i in range(60, 110):
+        for j in range(60):
+            x, y, n, m = set(texts[i]), set(texts[j]), len(rows[i][1]), len(rows[j][1])
+            rate = len(x & y) / len(x | y)
+            if rate >= 0.8 and abs(n - m) <= 0.2 * max(n, m) and rate > want.get(i, (0, 0))[1]:
+                want[i] = (j, rate)
+    assert want and got == {i: (j, round(s, 9)) for i, (j, s) in want.items()}
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_containment_cells(spark, compat):
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        start = rng.randrange(1, 700)
+        end = start + rng.choice([-2, 0, 1, 5, 63, 64, 65, 400])
+        rows.append((f"s{i}", f"n{i % 4}", rng.choice(["Class", "Interface", "Struct", "Method", "Function"]), f"f{i % 3}", start, end if i % 17 else None, f"x n{i % 5} y", "pkg"))
+    df = spark.createDataFrame(rows, "id string, name string, kind string, file_path string, start_line long, end_line long, code string, package string")
+    want = set()
+    for c in rows:
+        for m in rows:
+            if c[2] in ("Class", "Interface", "Struct") and m[2] in ("Method", "Function") and c[3] == m[3] and c[5] is not None:
+                inside = c[4] <= m[4] <= c[5] if not compat else m[5] is not None and c[5] < m[5] < c[5] + 100 and c[1] in m[6]
+                if inside:
+                    want.add((c[0], m[0]))
+    got = [(r["source"], r["target"]) for r in N.containment_edges(df, compat).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_top_k_of_blocks(spark, monkeypatch, metric):
+    """Against brute force: equal vectors (ties go to the smallest id), nulls, other lengths, several blocks."""
+    monkeypatch.setattr(V, "BLOCK_BYTES", 8 * 3 * 7)
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)] + [(90, None), (91, [1.0]), (92, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def score(x, y):
+        if metric == "l2":
+            return 1 - sum((a - b) ** 2 for a, b in zip(x, y))
+        return sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
+
+    want = []
+    for i, x in rows[:90:20]:
+        best = sorted((-round(score(x, y), 9), j) for j, y in rows[:90] if j != i)[:5]
+        want += [(i, j, -s, r) for r, (s, j) in enumerate(best, 1)]
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 9), r["rank"]) for r in V.top_k_batch(df, df.where("vec_id % 20 = 0 and vec_id < 90"), metric=metric).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_directories_and_renames(spark):
     ten = "\n".join(f"line {i}" for i in range(9))
     old = spark.createDataFrame([("same", "x\n"), ("gone", "alpha"), ("from", ten), ("mod", "a\nb\nc"), ("pic.png", "abc"), ("ws", " a ")], "path string, content string")
