@@ -10,6 +10,8 @@ from auditlake.plans.tables import stored
 
 # Fixed value: lines after a class's line within which a member may stand, in the compatible containment rule.
 COMPAT_SPAN = 100
+#: Lines of a cell of the containment join.
+CELL = 64
 
 
 def call_edges(symbols: DataFrame) -> DataFrame:
@@ -144,7 +146,11 @@ def containment_edges(symbols: DataFrame, compat: bool = False) -> DataFrame:
     """
     outer = symbols.where(F.col("kind").isin("Class", "Interface", "Struct")).select("file_path", F.col("id").alias("source"), F.col("name").alias("c_name"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
     inner = symbols.where(F.col("kind").isin("Method", "Function")).select("file_path", F.col("id").alias("target"), F.col("start_line").alias("m_start"), F.col("end_line").alias("m_end"), "code", "package")
-    pairs = inner.join(outer, "file_path")
+    # Lines are dealt into cells, so a member meets only what reaches into its own cell.
+    at, first, last = ("m_end", F.col("c_end"), F.col("c_end") + COMPAT_SPAN) if compat else ("m_start", F.col("c_start"), F.col("c_end"))
+    cells = F.sequence(F.floor(first / CELL), F.floor(last / CELL))
+    outer = outer.where(first <= last).withColumn("cell", F.explode(cells))
+    pairs = inner.withColumn("cell", F.floor(F.col(at) / CELL)).join(outer, ["file_path", "cell"])
     if compat:
         named = F.contains(F.lower("code"), F.lower("c_name")) | F.contains(F.coalesce("package", F.lit("")), F.col("c_name"))
         pairs = pairs.where((F.col("m_end") > F.col("c_end")) & (F.col("m_end") < F.col("c_end") + COMPAT_SPAN) & named)

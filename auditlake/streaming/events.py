@@ -14,6 +14,8 @@ MESSAGE_SCHEMA = "id string, sender string, recipient string, type string, prior
 # Event types that end a stream, buffered events of an audit, and the largest page of history.
 END_TYPES = ("complete", "error", "cancelled")
 CAPACITY, PAGE = 5000, 1000
+#: Parts of the merged event table.
+PARTS = 64
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, files_per_trigger: int = 100, format: str = "parquet") -> DataFrame:
@@ -76,24 +78,37 @@ def history_then_live(history: DataFrame, live: DataFrame, audit_id: str) -> tup
 
 
 def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: merge a batch into the event table; the table is written anew under a version of the
-    batch's number, so a repeated batch gives the same table."""
+    """foreachBatch function: merge a batch into the event table.  Audits are dealt into PARTS parts; a batch writes
+    the parts that it touches under a version of its number, so a repeated batch gives the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        batch = batch.persist()
+        part = F.pmod(F.xxhash64("audit_id"), F.lit(PARTS)).cast("int")
+        touched = {r[0] for r in batch.select(part).distinct().collect()}
         rows = batch.withColumn("arrival", F.lit(number))
-        old = version(spark, path, number - 1)
+        old = version(batch.sparkSession, path, number - 1, touched)
         if old is not None:
             rows = old.unionByName(rows)
         rank = F.row_number().over(Window.partitionBy("audit_id", "sequence").orderBy(F.col("arrival").desc(), F.col("timestamp").desc(), F.col("id").desc()))
-        rows.withColumn("_rn", rank).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/v={number}")
+        last = rows.withColumn("_rn", rank).where("_rn = 1").drop("_rn").withColumn("part", part).withColumn("v", F.lit(number))
+        last.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(path)
+        batch.unpersist()
 
     return merge
 
 
-def version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """A version of the merged table; None before the first one."""
-    return spark.read.parquet(f"{path}/v={number}") if number >= 0 else None
+def version(spark: SparkSession, path: str, number: int, parts: set[int] | None = None) -> DataFrame | None:
+    """A version of the merged table, or some parts of it: each part's newest state up to that batch; None if there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest: dict[int, int] = {}
+    for found in files.globStatus(hadoop(f"{path}/part=*/v=*")) or ():
+        part, v = (int(x.split("=")[1]) for x in found.getPath().toString().split("/")[-2:])
+        if v <= number and (parts is None or part in parts):
+            newest[part] = max(v, newest.get(part, v))
+    if not newest:
+        return None
+    return spark.read.option("basePath", path).parquet(*(f"{path}/part={p}/v={v}" for p, v in sorted(newest.items()))).drop("part", "v")
 
 
 def sse_frames(events: DataFrame) -> DataFrame:
@@ -115,11 +130,11 @@ def bounded_buffer(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def broadcast_messages(messages: DataFrame, agents: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Every message to all agents but its sender, optionally to some agent types; agents are a small table."""
+    """Every message to all agents but its sender, optionally to some agent types."""
     to = agents.select(F.col("agent_id").alias("recipient"), F.col("agent_type").alias("_type"))
     if types:
         to = to.where(F.col("_type").isin(*types))
-    rows = messages.drop("recipient").join(F.broadcast(to), F.lit(True))
+    rows = messages.drop("recipient").crossJoin(to)
     return rows.where(F.col("recipient") != F.col("sender")).drop("_type")
 
 

@@ -65,6 +65,19 @@ def test_upsert_sink(spark, tmp_path):
     assert E.version(spark, table, 1).count() == 2
 
 
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    table = tmp_path / "t"
+    sink = E.upsert_sink(str(table))
+    rows = [(f"{i}", f"audit{i}", "x", "status", 1, at(0), "old", "{}") for i in range(200)]
+    assert E.version(spark, str(table), -1) is None and E.version(spark, str(table), 0) is None
+    sink(spark.createDataFrame(rows, E.EVENT_SCHEMA), 0)
+    sink(spark.createDataFrame([("n", "audit7", "x", "status", 1, at(1), "new", "{}"), ("m", None, "x", "status", 1, at(1), "null", "{}")], E.EVENT_SCHEMA), 1)
+    assert 1 <= len(list(table.glob("part=*/v=1"))) <= 2 < len(list(table.glob("part=*/v=0")))
+    got = E.version(spark, str(table), 1)
+    assert got.count() == 201 and [r["message"] for r in got.where("audit_id = 'audit7'").collect()] == ["new"]
+    assert E.version(spark, str(table), 0).count() == 200
+
+
 def test_publish_and_handoff(spark, source, tmp_path):
     q = E.publish(E.read_events(spark, source), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
