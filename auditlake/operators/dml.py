@@ -6,13 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Tables that hold rows of a project, in the order of their deletion.
-PROJECT_TABLES = ("call_relations", "code_graphs", "symbols", "ast_indices", "findings", "scans", "projects")
+PROJECT_TABLES = ("findings", "scans", "call_relations", "code_graphs", "symbols", "ast_indices", "projects")
 
 
 def append(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def index_rows(symbols: DataFrame, project_id: int, index_id: int, version: str, files: int) -> tuple[DataFrame, DataFrame]:
+    """(one row of the index, one row a symbol of it) to store; the index row keeps the count, the symbols their own table."""
+    keys = F.lit(project_id).cast("long").alias("project_id"), F.lit(index_id).cast("long").alias("ast_index_id")
+    rows = symbols.select(
+        *keys, F.concat_ws(":", "name", "file_path", F.col("start_line").cast("string")).alias("symbol_id"), F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_type"),
+        "file_path", F.col("start_line").alias("line_number"), F.col("end_line"), F.array_join(F.coalesce("parent_classes", F.array().cast("array<string>")), ",").alias("parent_name"), F.to_json("metadata").alias("metadata"),
+    )
+    index = symbols.agg(F.count(F.lit(1)).alias("total_symbols")).select(*keys, F.lit(version).alias("index_version"), "total_symbols", F.lit(files).cast("long").alias("total_files"))
+    return index, rows
+
+
+def put(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write rows and replace the partitions that they fall into: a second run, after a failure too, stores nothing twice."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def save_index(symbols: DataFrame, project_id: int, index_id: int, version: str, files: int, indices: str, table: str) -> None:
+    """Store an index: its symbols first, then the row that makes it known, so a reader of known indices sees whole ones."""
+    index, rows = index_rows(symbols, project_id, index_id, version, files)
+    put(rows, table, "project_id", "ast_index_id")
+    put(index, indices, "project_id", "ast_index_id")
+
+
 def overwrite(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalar as S
@@ -131,11 +131,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return named.unionByName(lone.join(named, "node", "left_anti").withColumn("component", F.col("node")))
 
 
+# Label and type of the edges of a knowledge graph.
+EXTENDS = ("extends", "inheritance")
+CONTAINS = ("contains", "containment")
+CALLS = ("calls", "call")
+
+
+def _named(label: tuple[str, str]) -> list[Column]:
+    return [F.lit(label[0]).alias("label"), F.lit(label[1]).alias("type")]
+
+
 def inheritance_edges(symbols: DataFrame) -> DataFrame:
     """child -> parent where a named parent is indexed."""
     kinds = F.col("kind").isin("Class", "Interface", "Struct")
     child = symbols.where(kinds).select(F.col("id").alias("source"), F.explode("parent_classes").alias("name"))
-    return child.join(symbols.select(F.col("id").alias("target"), "name"), "name").select("source", "target", F.lit("inherits").alias("type"))
+    return child.join(symbols.select(F.col("id").alias("target"), "name"), "name").select("source", "target", *_named(EXTENDS))
 
 
 def containment_edges(symbols: DataFrame, compat: bool = False) -> DataFrame:
@@ -156,15 +166,15 @@ def containment_edges(symbols: DataFrame, compat: bool = False) -> DataFrame:
         pairs = pairs.where((F.col("m_end") > F.col("c_end")) & (F.col("m_end") < F.col("c_end") + COMPAT_SPAN) & named)
     else:
         pairs = pairs.where(F.col("m_start").between(F.col("c_start"), F.col("c_end")))
-    return pairs.select("source", "target", F.lit("contains").alias("type"))
+    return pairs.select("source", "target", *_named(CONTAINS))
 
 
 def site_edges(symbols: DataFrame) -> DataFrame:
-    """caller symbol -> call symbol, by the caller's name."""
+    """caller symbol -> call symbol, by the caller's name; every symbol of that name counts, whatever its kind."""
     caller = F.coalesce(F.try_element_at("metadata", F.lit("callerMethod")), F.try_element_at("metadata", F.lit("callerFunction")))
     sites = symbols.where("kind = 'MethodCall'").select(F.col("id").alias("target"), caller.alias("name"))
-    owners = symbols.where(F.col("kind").isin("Method", "Function")).select(F.col("id").alias("source"), "name")
-    return owners.join(sites, "name").select("source", "target", F.lit("calls").alias("type"))
+    owners = symbols.select(F.col("id").alias("source"), "name")
+    return owners.join(sites, "name").select("source", "target", *_named(CALLS))
 
 
 def textual_call_edges(symbols: DataFrame) -> DataFrame:
@@ -173,15 +183,18 @@ def textual_call_edges(symbols: DataFrame) -> DataFrame:
     names = owners.select("source", "own", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"([A-Za-z0-9_$]+)\("), 1))).alias("word"))
     suffixes = names.select("source", "own", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.length("word")))).alias("name")).distinct()
     targets = symbols.select(F.col("id").alias("target"), "name")
-    return suffixes.where("own <> name").join(targets, "name").select("source", "target", F.lit("calls").alias("type"))
+    return suffixes.where("own <> name").join(targets, "name").select("source", "target", *_named(CALLS))
 
 
 def knowledge_graph(symbols: DataFrame, limit: int = 500, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) over a bounded node set; nodes are limited first, edges join what is kept."""
+    """(nodes, edges) over a bounded node set; nodes are limited first, edges join what is kept.
+
+    Edges are numbered from 0 by type, source and target in one task: `limit` bounds them too.
+    """
     kept = symbols.orderBy("file_path", "start_line", "name").limit(limit).withColumn("id", S.symbol_id(F.col("file_path"), F.col("name"), F.col("start_line")))
     kept = stored(kept, "knowledge")
     edges = inheritance_edges(kept).unionByName(containment_edges(kept, compat)).unionByName(site_edges(kept)).unionByName(textual_call_edges(kept))
-    numbered = edges.withColumn("edge_id", F.concat(F.lit("e"), F.row_number().over(Window.orderBy("type", "source", "target")).cast("string")))
+    numbered = edges.withColumn("edge_id", F.concat(F.lit("edge_"), (F.row_number().over(Window.orderBy("type", "source", "target")) - 1).cast("string")))
     return kept.select("id", F.col("name").alias("label"), F.col("kind").alias("type")), numbered
 
 

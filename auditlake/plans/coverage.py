@@ -77,9 +77,37 @@ def graph_call_relations(spark, sf):
     return K.graph_relations(graphs).select("graph_id", "caller", "callee", "line")
 
 
-@query("delete_project", f"SELECT finding_id FROM ({I.FINDINGS}) WHERE project_id <> 4")
+#: Tables that hold rows of a project: the driver's table, and its columns for the row and the project.
+_OWNED = {
+    "findings": ("orders", ("o_orderkey", "o_custkey % 10")),
+    "scans": ("events", ("event_id", "user_id % 10")),
+    "call_relations": ("lineitem", ("l_orderkey", "l_suppkey % 10")),
+    "code_graphs": ("events", ("event_id", "event_id % 10")),
+    "symbols": ("part", ("p_partkey", "p_partkey % 10")),
+    "ast_indices": ("orders", ("o_orderkey", "o_custkey % 10")),
+    "projects": ("customer", ("c_custkey", "c_nationkey")),
+}
+
+
+@query("delete_project", " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({key} AS BIGINT) AS id, CAST({project} AS BIGINT) AS project_id FROM {source} WHERE {key if name == 'projects' else project} <> 4" for name, (source, (key, project)) in _OWNED.items()))
 def delete_project(spark, sf):
-    return K.delete_project({"findings": I.findings(spark, sf)}, 4)["findings"].select("finding_id")
+    tables = {name: I.table(spark, sf, source).selectExpr(f"CAST({key} AS BIGINT) AS id", f"CAST({project} AS BIGINT) AS project_id") for name, (source, (key, project)) in _OWNED.items()}
+    left = [rows.select(F.lit(name).alias("name"), "id", "project_id") for name, rows in K.delete_project(tables, 4).items()]
+    out = left[0]
+    for more in left[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("index_saved", f"SELECT 3 AS project_id, 7 AS ast_index_id, 'v2' AS index_version, (SELECT count(*) FROM part) AS total_symbols, name || ':' || file_path || ':' || start_line AS symbol_id, kind AS symbol_type, array_to_string(parent_classes, ',') AS parent_name FROM ({I.SYMBOLS})")
+def index_saved(spark, sf):
+    """An index that is stored twice is read back once."""
+    indices, table = new_path(spark, "indices"), new_path(spark, "symbols")
+    for version in ("v1", "v2"):
+        K.save_index(I.symbols(spark, sf), 3, 7, version, 24, indices, table)
+    key = ["project_id", "ast_index_id"]
+    known = spark.read.parquet(indices).select(*key, "index_version", "total_symbols")
+    return spark.read.parquet(table).join(known, key).select(*key, "index_version", "total_symbols", "symbol_id", "symbol_type", "parent_name")
 
 
 @query("session_upsert", "SELECT user_id AS audit_id, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -474,24 +474,44 @@ def class_hierarchy(spark, sf):
     return N.class_hierarchy(I.symbols(spark, sf), "N5").select("relation", "name", "depth").distinct()
 
 
-@query("inheritance_edges", f"WITH s AS ({I.SYMBOLS}) SELECT c.id AS source, p.id AS target FROM s c JOIN s p ON p.name = c.parent_classes[1] WHERE c.kind IN ('Class', 'Interface', 'Struct')")
+_INHERITS = "SELECT c.id AS source, p.id AS target, 'extends' AS label, 'inheritance' AS type FROM s c JOIN s p ON p.name = c.parent_classes[1] WHERE c.kind IN ('Class', 'Interface', 'Struct')"
+_CONTAINS = "SELECT c.id AS source, m.id AS target, 'contains' AS label, 'containment' AS type FROM s c JOIN s m USING (file_path) WHERE c.kind IN ('Class', 'Interface') AND m.kind IN ('Method', 'Function') AND m.start_line BETWEEN c.start_line AND c.end_line"
+_SITES = "SELECT o.id AS source, c.id AS target, 'calls' AS label, 'call' AS type FROM s c JOIN s o ON o.name = c.caller WHERE c.kind = 'MethodCall'"
+_TEXTUAL = "SELECT o.id AS source, t.id AS target, 'calls' AS label, 'call' AS type FROM s o JOIN s t ON contains(o.code, t.name || '(') AND o.name <> t.name WHERE o.kind IN ('Method', 'Function')"
+
+
+@query("inheritance_edges", f"WITH s AS ({I.SYMBOLS}) {_INHERITS}")
 def inheritance_edges(spark, sf):
-    return N.inheritance_edges(I.symbols(spark, sf)).select("source", "target")
+    return N.inheritance_edges(I.symbols(spark, sf))
 
 
-@query("containment_range_join", f"WITH s AS ({I.SYMBOLS}) SELECT c.id AS source, m.id AS target FROM s c JOIN s m USING (file_path) WHERE c.kind IN ('Class', 'Interface') AND m.kind IN ('Method', 'Function') AND m.start_line BETWEEN c.start_line AND c.end_line")
+@query("containment_range_join", f"WITH s AS ({I.SYMBOLS}) {_CONTAINS}")
 def containment_range_join(spark, sf):
-    return N.containment_edges(I.symbols(spark, sf)).select("source", "target")
+    return N.containment_edges(I.symbols(spark, sf))
 
 
-@query("call_site_edges", f"WITH s AS ({I.SYMBOLS}) SELECT o.id AS source, c.id AS target FROM s c JOIN s o ON o.name = c.caller WHERE c.kind = 'MethodCall' AND o.kind IN ('Method', 'Function')")
+@query("call_site_edges", f"WITH s AS ({I.SYMBOLS}) {_SITES}")
 def call_site_edges(spark, sf):
-    return N.site_edges(I.symbols(spark, sf)).select("source", "target")
+    return N.site_edges(I.symbols(spark, sf))
 
 
-@query("textual_call_edges", f"WITH s AS ({I.SYMBOLS}) SELECT o.id AS source, t.id AS target FROM s o JOIN s t ON contains(o.code, t.name || '(') AND o.name <> t.name WHERE o.kind IN ('Method', 'Function')")
+@query("textual_call_edges", f"WITH s AS ({I.SYMBOLS}) {_TEXTUAL}")
 def textual_call_edges(spark, sf):
-    return N.textual_call_edges(I.symbols(spark, sf)).select("source", "target")
+    return N.textual_call_edges(I.symbols(spark, sf))
+
+
+#: The node limit belongs to the graph: it is drawn.
+_GRAPH = f"WITH s AS (SELECT * FROM ({I.SYMBOLS}) ORDER BY file_path, start_line, name LIMIT 500)"
+
+
+@query("knowledge_graph_nodes", f"{_GRAPH} SELECT id, name AS label, kind AS type FROM s")
+def knowledge_graph_nodes(spark, sf):
+    return N.knowledge_graph(I.symbols(spark, sf))[0]
+
+
+@query("knowledge_graph_edges", f"{_GRAPH}, e AS ({_INHERITS} UNION ALL {_CONTAINS} UNION ALL {_SITES} UNION ALL {_TEXTUAL}) SELECT *, 'edge_' || (row_number() OVER (ORDER BY type, source, target) - 1) AS edge_id FROM e")
+def knowledge_graph_edges(spark, sf):
+    return N.knowledge_graph(I.symbols(spark, sf))[1]
 
 
 @query("connected_components", f"""WITH RECURSIVE e AS ({I.LINKS}), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, label) AS (SELECT a, a FROM n UNION SELECT n.b, r.label FROM r JOIN n ON n.a = r.node)

@@ -116,7 +116,8 @@ def test_knowledge_graph(spark):
     symbols = Y.extract_symbols(spark.createDataFrame([("A.java", source)], "path string, content string"))
     nodes, edges = N.knowledge_graph(symbols)
     found = {(r["type"], r["source"].split(":")[1], r["target"].split(":")[1]) for r in edges.collect()}
-    assert {("inherits", "A", "B"), ("contains", "A", "run"), ("contains", "A", "helper"), ("calls", "run", "helper")} <= found
+    assert {("inheritance", "A", "B"), ("containment", "A", "run"), ("containment", "A", "helper"), ("call", "run", "helper")} <= found
+    assert sorted(r["edge_id"] for r in edges.collect()) == sorted(f"edge_{i}" for i in range(edges.count()))
     assert nodes.count() == symbols.count()
     assert N.knowledge_graph(symbols, limit=1)[1].count() == 0
 
