@@ -193,11 +193,13 @@ def queue_stats(spark, sf):
     return G.queue_statistics(c)
 
 
-@query("graph_counts", "SELECT event_id AS id, CAST(event_id % 4 AS INT) AS nodes, 0 AS edges FROM events")
+@query("graph_counts", "SELECT event_id AS id, CAST(event_id % 4 AS INT) AS nodes, CAST(event_id % 3 AS INT) AS edges FROM events")
 def graph_counts(spark, sf):
-    k = F.col("event_id")
-    data = F.to_json(F.struct(F.slice(F.array(*(F.lit(str(i)) for i in range(4))), F.lit(1), (k % 4).cast("int")).alias("nodes")))
-    return G.graph_counts(I.table(spark, sf, "events").select(k.alias("id"), data.alias("data")))
+    def some(n: int):
+        return F.slice(F.array(*(F.lit(str(i)) for i in range(n))), F.lit(1), (F.col("event_id") % n).cast("int"))
+
+    data = F.to_json(F.struct(some(4).alias("nodes"), some(3).alias("edges")))
+    return G.graph_counts(I.table(spark, sf, "events").select(F.col("event_id").alias("id"), data.alias("data")))
 
 
 @query("latest_sequence_of_audit", f"SELECT max(sequence) AS latest FROM ({I.SEQUENCED}) WHERE audit_id = 11")
@@ -211,9 +213,11 @@ def diff_line_numbers(spark, sf):
     return W.diff_numbers(I.events(spark, sf).withColumn("diff_type", kind), "audit_id", "id").select("id", "left_line", "right_line")
 
 
-@query("offset_lines", "SELECT doc_id, CAST(1 + len(substr(text, 1, 200)) - len(replace(substr(text, 1, 200), chr(10), '')) AS INT) AS line FROM documents")
+@query("offset_lines", "SELECT doc_id, CAST(1 + len(substr(text, 1, o)) - len(replace(substr(text, 1, o), chr(10), '')) AS INT) AS line FROM (SELECT doc_id, text, length(text) - doc_id % 50 AS o FROM documents) WHERE o >= 0")
 def offset_lines(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", W.offset_lines(F.col("text"), F.lit(200)).cast("int").alias("line"))
+    """Of an offset near each text's end, so whole texts are read."""
+    at = (F.length("text") - F.col("doc_id") % 50).cast("int")
+    return I.table(spark, sf, "documents").withColumn("at", at).where("at >= 0").select("doc_id", W.offset_lines(F.col("text"), F.col("at")).cast("int").alias("line"))
 
 
 @query("latest_events", f"SELECT id FROM ({I.SEQUENCED}) WHERE audit_id = 4 ORDER BY sequence DESC LIMIT 7")
@@ -221,9 +225,9 @@ def latest_events(spark, sf):
     return T.latest_events(W.sequenced(I.events(spark, sf), "audit_id", F.col("ts"), F.col("id")), 4, 7).select("id")
 
 
-@query("first_symbols", f"SELECT pk FROM ({I.SYMBOLS}) ORDER BY file_path, start_line, name, pk LIMIT 50")
+@query("first_symbols", f"SELECT pk FROM ({I.SYMBOLS}) ORDER BY file_path, start_line, name LIMIT 500")
 def first_symbols(spark, sf):
-    return I.symbols(spark, sf).orderBy("file_path", "start_line", "name", "pk").limit(50).select("pk")
+    return T.first_symbols(I.symbols(spark, sf)).select("pk")
 
 
 @query("component_sizes", f"WITH RECURSIVE e AS ({I.LINKS}), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, label) AS (SELECT a, a FROM n UNION SELECT n.b, r.label FROM r JOIN n ON n.a = r.node), c AS (SELECT node, min(label) AS component FROM r GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY 1")
@@ -242,10 +246,15 @@ def union_keys(spark, sf):
     return U.union_keys(I.table(spark, sf, "orders").withColumnRenamed("o_custkey", "k"), I.table(spark, sf, "customer").withColumnRenamed("c_custkey", "k"), "k")
 
 
-@query("except_keys", "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 3)")
+@query("except_keys", "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def except_keys(spark, sf):
-    taken = I.table(spark, sf, "lineitem").where("l_linenumber = 3").withColumnRenamed("l_partkey", "k")
-    return U.except_keys(I.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), taken, "k")
+    return U.except_keys(I.table(spark, sf, "part").select(F.col("p_partkey").alias("k")), I.table(spark, sf, "orders").withColumnRenamed("o_custkey", "k"), "k")
+
+
+@query("unseen_nodes", "SELECT DISTINCT user_id AS node FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
+def unseen_nodes(spark, sf):
+    visited = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    return U.unseen(I.table(spark, sf, "events").withColumnRenamed("user_id", "node"), visited, "node")
 
 
 @query("line_set_jaccard", "WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS l FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.l) = 0 OR len(b.l) = 0 THEN 0 ELSE len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) END, 6) AS j FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")

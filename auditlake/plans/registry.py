@@ -428,11 +428,17 @@ def rename_jaccard(spark, sf):
 
 @query("diff_summary", f"WITH {_SIDES}, j AS (SELECT a.content AS x, b.content AS y FROM a FULL OUTER JOIN b ON a.path = b.path) SELECT count(*) AS files, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS deleted, count(*) FILTER (x = y) AS unchanged FROM j")
 def diff_summary(spark, sf):
-    """Statuses only: SQL has no line diff; lines are tested against brute force."""
+    """Statuses only, as SQL has no line diff; directory_diff_summary has all counts."""
     a, b = _sides(spark, sf)
     return D.diff_summary(D.compare_directories(a, b, detect_renames=False)).select("files", "added", "deleted", "unchanged")
 
 
+@query("directory_diff_summary")
+def directory_diff_summary(spark, sf):
+    """All counts, with renames and lines; SQL has no line diff, so it is tested against brute force."""
+    return D.diff_summary(D.compare_directories(*_sides(spark, sf)))
+
+
 @query("whole_file_lines", f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) l WHERE {_LAST} GROUP BY path")
 def whole_file_lines(spark, sf):
     """Of files of every extension."""
@@ -598,9 +604,12 @@ def confidence_score(spark, sf):
     return I.events(spark, sf).select("id", F.round(C.confidence(F.col("event_type")), 6).alias("confidence"))
 
 
-@query("vulnerability_alias", "SELECT * FROM (VALUES ('SQLi', 'sql_injection'), (' RCE ', 'command_injection'), ('Open Redirect-x', 'open_redirect_x')) v(raw, name)")
+@query("vulnerability_alias", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'command_injection' WHEN 2 THEN 'open_redirect_x' ELSE lower(replace(replace(o_orderpriority, ' ', '_'), '-', '_')) END AS name FROM orders")
 def vulnerability_alias(spark, sf):
-    return spark.createDataFrame([("SQLi",), (" RCE ",), ("Open Redirect-x",)], "raw string").select("raw", R.normal_vulnerability(F.col("raw")).alias("name"))
+    """Of every order: aliases in several spellings, and names that are no alias."""
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, "SQLi").when(k == 1, " RCE ").when(k == 2, "Open Redirect-x").otherwise(F.col("o_orderpriority"))
+    return I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), R.normal_vulnerability(raw).alias("name"))
 
 
 @query("callee_normalise", f"SELECT DISTINCT name AS callee FROM ({I.SYMBOLS})")
@@ -610,10 +619,19 @@ def callee_normalise(spark, sf):
     return s.select(S.callee_name(full).alias("callee")).distinct()
 
 
-@query("dependency_parse", "SELECT * FROM (VALUES ('a/package.json','left','^1','production','npm'), ('a/package.json','right','2','development','npm'), ('requirements.txt','numpy','>=1.2','production','pypi'), ('requirements.txt','flask','unknown','production','pypi'), ('x/pom.xml','maven-project','unknown','production','maven')) v(file, name, version, type, ecosystem)")
+@query("dependency_parse", """SELECT p_partkey || '/package.json' AS file, 'm' || (p_partkey % 97) AS name, '^' || p_size AS version, 'production' AS type, 'npm' AS ecosystem FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT p_partkey || '/package.json', 'dev-' || p_size, '2', 'development', 'npm' FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT p_partkey || '/requirements.txt', 'm' || (p_partkey % 97), '>=' || p_size, 'production', 'pypi' FROM part WHERE p_partkey % 3 = 1
+ UNION ALL SELECT p_partkey || '/requirements.txt', 'flask', 'unknown', 'production', 'pypi' FROM part WHERE p_partkey % 3 = 1
+ UNION ALL SELECT p_partkey || '/pom.xml', 'maven-project', 'unknown', 'production', 'maven' FROM part WHERE p_partkey % 3 = 2""")
 def dependency_parse(spark, sf):
-    rows = [("a/package.json", '{"dependencies": {"left": "^1"}, "devDependencies": {"right": "2"}}'), ("requirements.txt", "# c\nnumpy>=1.2\n\nflask\n"), ("x/pom.xml", "<x/>")]
-    return R.dependencies(spark.createDataFrame(rows, "path string, content string"))
+    """One manifest for every part, of three kinds."""
+    k, size, name = F.col("p_partkey"), F.col("p_size").cast("string"), F.concat(F.lit("m"), (F.col("p_partkey") % 97).cast("string"))
+    npm = F.to_json(F.struct(F.create_map(name, F.concat(F.lit("^"), size)).alias("dependencies"), F.create_map(F.concat(F.lit("dev-"), size), F.lit("2")).alias("devDependencies")))
+    pip = F.concat(F.lit("# c\n"), name, F.lit(">="), size, F.lit("\n\nflask\n"))
+    file = F.when(k % 3 == 0, "package.json").when(k % 3 == 1, "requirements.txt").otherwise("pom.xml")
+    content = F.when(k % 3 == 0, npm).when(k % 3 == 1, pip).otherwise("<x/>")
+    return R.dependencies(I.table(spark, sf, "part").select(F.concat_ws("/", k.cast("string"), file).alias("path"), content.alias("content")))
 
 
 @query("extracted_symbol_stats", "SELECT kind, CASE kind WHEN 'total' THEN 3 ELSE 1 END * (SELECT count(*) FROM documents) AS n FROM (VALUES ('Class'), ('Method'), ('MethodCall'), ('total')) v(kind)")

@@ -52,6 +52,40 @@ def test_git_changes_of_differing_sides(spark, sf_dir):
     assert sum(x[2] for x in got.values()) and sum(x[3] for x in got.values())
 
 
+def test_directory_summary_counts_lines_and_renames(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    old = {k // 2: t for k, t in texts.items() if k % 2 == 0}
+    new = {k // 2 + k // 200: t for k, t in texts.items() if k % 2 == 1}
+
+    def line_list(text):
+        return [x.removesuffix("\r") for x in text.split("\n")] if not text.endswith("\n") and text else [x.removesuffix("\r") for x in text.split("\n")[:-1]]
+
+    def alike(x, y):
+        n, m = len(x.encode()), len(y.encode())
+        p, q = ({z.strip(" ") for z in t.split("\n")} - {""} for t in (x, y))
+        return abs(n - m) <= 0.2 * max(n, m) and p and q and len(p & q) >= 0.8 * len(p | q)
+
+    def rank(x, y):
+        p, q = ({z.strip(" ") for z in t.split("\n")} - {""} for t in (x, y))
+        return -len(p & q) / len(p | q)
+
+    added, deleted = new.keys() - old.keys(), old.keys() - new.keys()
+    claims = {k: min((rank(new[k], old[d]), f"d/{d}") for d in found)[1] for k in added if (found := [d for d in deleted if alike(new[k], old[d])])}
+    gone = [d for d in deleted if f"d/{d}" not in claims.values()]
+    want = dict(added=len(added) - len(claims), deleted=len(gone), renamed=len(claims), modified=0, unchanged=0, insertions=0, deletions=0)
+    want["insertions"] = sum(len(line_list(new[k])) for k in added if k not in claims)
+    want["deletions"] = sum(len(line_list(old[k])) for k in gone)
+    for k in old.keys() & new.keys():
+        a, b = line_list(old[k]), line_list(new[k])
+        same = longest_common(a, b)
+        want["unchanged" if a == b else "modified"] += 1
+        want["insertions"] += len(b) - same
+        want["deletions"] += len(a) - same
+    want["files"] = len(added) + len(gone) + len(old.keys() & new.keys())
+    assert registry.QUERIES["directory_diff_summary"](spark, sf_dir).first().asDict() == want
+    assert want["modified"] and want["insertions"] and want["deletions"]
+
+
 def test_call_graph_emits_every_call_site(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber").collect()
     sites = [(f"f{r[0] % 500}", f"f{r[1] * 13 % 500}", f"src/{r[2]}", r[3]) for r in items]
