@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalar as S
@@ -15,6 +17,7 @@ from auditlake.operators import graph as N
 from auditlake.operators import ordering as T
 from auditlake.operators import recon as R
 from auditlake.operators import sets as U
+from auditlake.operators import symbols as Y
 from auditlake.operators import vectors as V
 from auditlake.operators import windows as W
 from auditlake.plans import inputs as I  # noqa: E741
@@ -110,6 +113,40 @@ def index_saved(spark, sf):
     return spark.read.parquet(table).join(known, key).select(*key, "index_version", "total_symbols", "symbol_id", "symbol_type", "parent_name")
 
 
+#: A source file of each language; {k7} stands for the part's number modulo 7.
+_WRITTEN = {
+    "java": "package p.q;\npublic class C{k} extends B{k7} {{\n  void m{k13}() {{\n    other.go{k5}(1); // no(2)\n  }}\n}}\n",
+    "rs": "struct S{k} {{ n: u32 }}\nfn f{k13}(x: u32) -> u32 {{\n  g{k5}(x) /* no(2) */\n}}\n",
+    "ts": "class T{k} {{\n  m{k13}(x) {{\n    return this.go{k5}(x);\n  }}\n}}\nfunction h{k7}() {{ }}\n",
+}
+_WRITTEN_SQL = " UNION ALL ".join(
+    f"SELECT p_partkey || '.{ext}' AS file_path, '{kind}' AS kind, '{name}' || (p_partkey % {of}) AS name, CAST({line} AS BIGINT) AS start_line, {parent} AS parents FROM part WHERE p_partkey % 3 = {turn}"
+    for turn, ext, kind, name, of, line, parent in (
+        (0, "java", "Class", "C", 10**12, 2, "'B' || (p_partkey % 7)"), (0, "java", "Method", "m", 13, 3, "''"), (0, "java", "MethodCall", "go", 5, 4, "''"),
+        (1, "rs", "Struct", "S", 10**12, 1, "''"), (1, "rs", "Function", "f", 13, 2, "''"), (1, "rs", "MethodCall", "g", 5, 3, "''"),
+        (2, "ts", "Class", "T", 10**12, 1, "''"), (2, "ts", "Method", "m", 13, 2, "''"), (2, "ts", "MethodCall", "go", 5, 3, "''"), (2, "ts", "Function", "h", 7, 6, "''"),
+    )
+)
+
+
+@query("written_symbols", _WRITTEN_SQL)
+def written_symbols(spark, sf):
+    """Symbols of a Java, Rust or TypeScript file written for each part."""
+    k = F.col("p_partkey")
+
+    def filled(text: str):
+        pieces = re.split(r"\{(k\d*)\}", text)
+        numbers = [(k % int(x[1:]) if x[1:] else k).cast("string") for x in pieces[1::2]]
+        plain = [F.lit(x.replace("{{", "{").replace("}}", "}")) for x in pieces[::2]]
+        return F.concat(plain[0], *(c for pair in zip(numbers, plain[1:], strict=True) for c in pair))
+
+    kinds = list(_WRITTEN)
+    path = F.concat_ws(".", k.cast("string"), F.element_at(F.array(*map(F.lit, kinds)), (k % 3 + 1).cast("int")))
+    content = F.when(k % 3 == 0, filled(_WRITTEN[kinds[0]])).when(k % 3 == 1, filled(_WRITTEN[kinds[1]])).otherwise(filled(_WRITTEN[kinds[2]]))
+    found = Y.extract_symbols(I.table(spark, sf, "part").select(path.alias("path"), content.alias("content")))
+    return found.select("file_path", "kind", "name", "start_line", F.array_join("parent_classes", ",").alias("parents"))
+
+
 @query("session_upsert", "SELECT user_id AS audit_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def session_upsert(spark, sf):
     return K.upsert_latest(I.table(spark, sf, "events").withColumnRenamed("user_id", "audit_id"), ["audit_id"], "event_id").select("audit_id", "event_id")
