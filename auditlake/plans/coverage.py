@@ -419,10 +419,13 @@ def events_deduplicated(spark, sf):
 
 
 def _stream(spark, sf):
-    """The events table as a stream of files: a file source watches a folder, so the rows are put into one first."""
+    """The events table as a stream of files: a file source watches a folder, so the rows are put into one first.
+
+    Files arrive in no order, so there are no more of them than one trigger takes: the stream is one batch.
+    """
     path = new_path(spark, "stream-in")
     e = I.table(spark, sf, "events")
-    e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("audit_id"), "event_type", F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("sequence")).write.parquet(path)
+    e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("audit_id"), "event_type", F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("sequence")).coalesce(E.FILES_PER_TRIGGER).write.parquet(path)
     return E.read_events(spark, path, "id string, audit_id string, event_type string, timestamp timestamp, sequence bigint")
 
 

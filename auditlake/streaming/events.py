@@ -16,9 +16,11 @@ END_TYPES = ("complete", "error", "cancelled")
 CAPACITY, PAGE = 5000, 1000
 #: Parts of the merged event table.
 PARTS = 64
+#: Files a trigger takes.
+FILES_PER_TRIGGER = 100
 
 
-def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, files_per_trigger: int = 100, format: str = "parquet") -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, files_per_trigger: int = FILES_PER_TRIGGER, format: str = "parquet") -> DataFrame:
     """Events as files arrive; backpressure is the number of files a trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(format).load(path)
 
@@ -35,17 +37,19 @@ def publish(events: DataFrame, path: str, checkpoint: str):
 
 
 def sequenced(events: DataFrame) -> DataFrame:
-    """Give events their number inside their audit, in arrival order; the last number given is the state of a key."""
+    """Give events their number inside their audit, in arrival order; the last number given is the state of a key.
+
+    A batch's events of an audit come in several frames where an Arrow batch ends among them, so they are put
+    together before they are sorted: a task holds one audit's events of one batch.
+    """
     schema = "id string, audit_id string, event_type string, sequence bigint, timestamp timestamp"
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["timestamp", "id"])
-            pdf["sequence"] = range(last + 1, last + 1 + len(pdf))
-            last += len(pdf)
-            yield pdf[["id", "audit_id", "event_type", "sequence", "timestamp"]]
-        state.update((last,))
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
+        pdf["sequence"] = range(last + 1, last + 1 + len(pdf))
+        state.update((last + len(pdf),))
+        yield pdf[["id", "audit_id", "event_type", "sequence", "timestamp"]]
 
     rows = events.select("id", "audit_id", "event_type", "timestamp")
     return rows.groupBy("audit_id").applyInPandasWithState(number, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)

@@ -98,3 +98,16 @@ def test_batch_rules(spark):
     assert sorted((r["id"], r["recipient"]) for r in E.broadcast_messages(m, agents).collect()) == [("1", "b"), ("1", "c"), ("2", "a"), ("2", "b")]
     assert E.broadcast_messages(m, agents, ["plan"]).count() == 1 and E.point_to_point(m, "b").count() == 1
     assert E.expired(m, "timestamp", F.lit(at(9000)), 3600).count() == 1
+
+
+def test_sequence_of_audits_that_span_arrow_batches(spark, tmp_path):
+    """Three audits in one partition, each over several Arrow batches and in falling order of time."""
+    rows = spark.range(25_000, numPartitions=1).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("a"), (F.col("id") % 3).cast("string")).alias("audit_id"), F.lit("status").alias("event_type"),
+        F.timestamp_seconds(1_700_000_000 - F.floor(F.col("id") / 2)).alias("timestamp"),
+    )
+    rows.write.parquet(path := str(tmp_path / "long"))
+    live = E.read_events(spark, path, "id string, audit_id string, event_type string, timestamp timestamp")
+    got = {(r["audit_id"], r["sequence"]): r["id"] for r in drained(E.sequenced(live), "long_audits").collect()}
+    want = {(f"a{a}", n): str(i) for a in range(3) for n, i in enumerate(sorted(range(a, 25_000, 3), key=lambda i: (-(i // 2), str(i))), 1)}
+    assert got == want
