@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalar as S
+from auditlake.operators.ordering import first_symbols
 from auditlake.plans.tables import stored
 
 # Fixed value: lines after a class's line within which a member may stand, in the compatible containment rule.
@@ -191,7 +192,7 @@ def knowledge_graph(symbols: DataFrame, limit: int = 500, compat: bool = False)
 
     Edges are numbered from 0 by type, source and target in one task: `limit` bounds them too.
     """
-    kept = symbols.orderBy("file_path", "start_line", "name").limit(limit).withColumn("id", S.symbol_id(F.col("file_path"), F.col("name"), F.col("start_line")))
+    kept = first_symbols(symbols, limit).withColumn("id", S.symbol_id(F.col("file_path"), F.col("name"), F.col("start_line")))
     kept = stored(kept, "knowledge")
     edges = inheritance_edges(kept).unionByName(containment_edges(kept, compat)).unionByName(site_edges(kept)).unionByName(textual_call_edges(kept))
     numbered = edges.withColumn("edge_id", F.concat(F.lit("edge_"), (F.row_number().over(Window.orderBy("type", "source", "target")) - 1).cast("string")))

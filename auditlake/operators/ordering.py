@@ -31,8 +31,10 @@ def latest_events(events: DataFrame, audit_id, n: int) -> DataFrame:
 
 
 def first_symbols(symbols: DataFrame, n: int = 500) -> DataFrame:
-    """A repeatable bounded node set: by file, line and name."""
-    return symbols.orderBy("file_path", "start_line", "name").limit(n)
+    """A repeatable bounded node set: by file, line and name, and where these tie by every other column that has an order."""
+    first = ["file_path", "start_line", "name"]
+    rest = [f.name for f in symbols.schema if f.name not in first and "map<" not in f.dataType.simpleString()]
+    return symbols.orderBy(*first, *rest).limit(n)
 
 
 def file_tree(entries: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from auditlake.operators import dml as K
 from auditlake.operators import dsl as Q
 from auditlake.operators import filters as P
 from auditlake.operators import graph as N
+from auditlake.operators import ordering as T
 from auditlake.operators import recon as R
 from auditlake.operators import scan as X
 from auditlake.operators import symbols as Y
@@ -408,3 +409,11 @@ def test_sql_functions(spark):
     got = spark.sql("SELECT s.kind, s.name FROM {f} f, LATERAL extract_symbols(f.path, f.content) s", f=df).collect()
     assert sorted(map(tuple, got)) == [("Function", "f"), ("MethodCall", "g")]
     assert tuple(spark.sql("SELECT severity_rank('HIGH'), callee_name('a::b->c'), length(snapshot_key('x')), file_extension('p/q.tar.gz')").first()) == (2, "c", 16, "gz")
+
+
+def test_first_symbols_of_ties_are_repeatable(spark):
+    rows = [(f"N{i % 2}", "Class", "f", 1, {"k": str(i)}, i) for i in range(40)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, kind string, file_path string, start_line bigint, metadata map<string,string>, pk bigint")
+    for parts in (1, 7):
+        assert [r["pk"] for r in T.first_symbols(df.repartition(parts), 25).collect()] == [*range(0, 40, 2), *range(1, 10, 2)]
