@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,45 @@ LANGUAGE_EXTENSIONS = {
 START, STOP = "\ufdd0", "\ufdd1"
 #: Comments and string literals of the languages with structural rules.
 NOT_CODE = r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+SPANS = "array<struct<line_start:int,line_end:int>>"
 FINDING = ("file_path", "line_start", "line_end", "detector", "vuln_type", "severity", "description")
 
 
 def java_pattern(pattern: str) -> str:
     """The same pattern for Java: `.` excludes only a line feed, classes and case folding are Unicode."""
-    return "(?dU)" + pattern
+    return "(?dU)" + without_restarts(pattern)
+
+
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\.\*(?![?+*{])|.", re.S)
+_LITERAL = re.compile(r"(?:[\w ]|\\[^\w\s])+")
+
+
+def without_restarts(pattern: str) -> str:
+    """The same matches, without trying a line's every place for what stands in its rest.
+
+    Top-level alternatives are cut at `.*`.  One that begins with `.*` matches at the first place of a line that is
+    left, or nowhere in it, so it is tried only there.  Of literal text between two `.*`, the first occurrence serves
+    if any does, and the last `.*` reaches the same end after it, so no other occurrence is tried.
+    """
+    flags = re.match(r"\(\?i\)", pattern)
+    body = pattern[flags.end() :] if flags else pattern
+    if ".*" not in body or re.search(r"\(\?[a-zA-Z-]+[:)]|\\[QG]", body) or _parser.parse(pattern).getwidth()[0] == 0:
+        return pattern
+    depth, alternatives = 0, [[""]]
+    for token in _TOKEN.findall(body):
+        depth += (token == "(") - (token == ")")
+        if depth == 0 and token == "|":
+            alternatives.append([""])
+        elif depth == 0 and token == ".*":
+            alternatives[-1].append("")
+        else:
+            alternatives[-1][-1] += token
+    found = []
+    for head, *rest in alternatives:
+        start = r"(?:(?<![^\n])|\G)" if rest and not head else ""
+        between = "".join(f"(?>.*?{x})" if _LITERAL.fullmatch(x) else f".*{x}" for x in rest[:-1])
+        found.append(start + head + between + "".join(f".*{x}" for x in rest[-1:]))
+    return (flags[0] if flags else "") + "|".join(found)
 
 
 def extensions_of(language: str) -> tuple[str, ...] | None:
@@ -62,19 +96,23 @@ def match_spans(content: Column, pattern: str, besides: str | None = None) -> Co
     mark belong together, and the line that holds one is its place in the array, so a file costs one pass however
     many matches it has.  Text that matches `besides` first is passed over.
     """
-    clean = F.translate(content, START + STOP, "  ")
+    holds = F.contains(content, F.lit(START)) | F.contains(content, F.lit(STOP))
+    clean = F.when(holds, F.translate(content, START + STOP, "  ")).otherwise(content)
     if besides is None:
         marked = F.regexp_replace(clean, f"({java_pattern(pattern)})", f"{START}$1{STOP}")
     else:
         marked = F.regexp_replace(clean, f"((?d){besides})|({java_pattern(pattern)})", f"$1{START}$2{STOP}")
         marked = F.replace(marked, F.lit(START + STOP), F.lit(""))
-    lines = F.split(marked, "\n", -1)
 
-    def places(mark: str) -> Column:
+    def places(lines: Column, mark: str) -> Column:
         return F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i + 1, (F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))).cast("int"))))
 
-    located = F.transform(F.arrays_zip(places(START).alias("line_start"), places(STOP).alias("line_end")), lambda x: F.struct(x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
-    return F.when(content.rlike(java_pattern(pattern)), located).otherwise(F.array().cast("array<struct<line_start:int,line_end:int>>"))
+    def located(lines: Column) -> Column:
+        return F.transform(F.arrays_zip(places(lines, START).alias("line_start"), places(lines, STOP).alias("line_end")), lambda x: F.struct(x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
+
+    # An array of one, so that the marked text is made once for both kinds of marks.
+    once = F.get(F.transform(F.array(F.split(marked, "\n", -1)), located), F.lit(0))
+    return F.when(content.rlike(java_pattern(pattern)), once).otherwise(F.array().cast(SPANS))
 
 
 _CALL = re.compile(r"""\(call_expression\s+function:\s*(?:\(identifier\)\s*@(\w+)|\(member_expression\s+object:\s*\(identifier\)\s*@(\w+)\s+property:\s*\(property_identifier\)\s*@(\w+)\s*\))((?:\s*\(\#eq\?\s+@\w+\s+"[^"]*"\s*\))+)\s*\)\s*\Z""")
@@ -119,7 +157,7 @@ def scan_content(files: DataFrame, rules: list[dict]) -> DataFrame:
             kind, spans = "RegexRule", match_spans(F.col("content"), rule["pattern"])
         exts = extensions_of(rule["language"])
         if exts is not None:
-            spans = F.when(F.col("ext").isin(*exts), spans).otherwise(F.slice(spans, 1, 0))
+            spans = F.when(F.col("ext").isin(*exts), spans).otherwise(F.array().cast(SPANS))
         found.append(_located(spans, F.struct(*finding_columns(rule, kind))))
     if not found:
         raise ValueError("no active rule")

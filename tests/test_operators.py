@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -417,3 +418,21 @@ def test_first_symbols_of_ties_are_repeatable(spark):
     df = spark.createDataFrame(rows, "name string, kind string, file_path string, start_line bigint, metadata map<string,string>, pk bigint")
     for parts in (1, 7):
         assert [r["pk"] for r in T.first_symbols(df.repartition(parts), 25).collect()] == [*range(0, 40, 2), *range(1, 10, 2)]
+
+
+def test_patterns_without_restarts(spark):
+    """The same marks as by the pattern as it is written, on lines of its pieces; and lines of many pieces end."""
+    patterns = [
+        r"(?i)(logger\.|log\.|print).*\+.*request|.*log.*\+.*user|.*log.*\+.*input", r"a.*b.*\+.*c|.*b|x", r".*a+.*b.*c", r"a|.*b.*c\s+x|b.*", r"(a|ab).*b.*(c|cc)|.*x.*\|.*a", r"[.*]x.*a.*\.\*|.*a.*x\nb",
+    ]
+    pieces = ["log", "LOG.", "+", "user", "input", "print", "request", "a", "b", "c", "x", "|", ".*", " ", "\n", "\r"]
+    rng = random.Random(5)
+    texts = spark.createDataFrame([("".join(rng.choices(pieces, k=rng.randrange(30))),) for _ in range(600)], "t string")
+    for p in patterns:
+        assert X.without_restarts(p) != p
+        row = texts.agg(F.count_if(F.col("t").rlike("(?dU)" + p)), F.count_if(F.regexp_replace("t", f"((?dU){p})", "<$1>") != F.regexp_replace("t", f"({X.java_pattern(p)})", "<$1>"))).first()
+        assert row[0] >= 5 and row[1] == 0
+    assert X.without_restarts(r"(?s).*a.*b.*c") == r"(?s).*a.*b.*c" and X.without_restarts(r".*a.*b.*c|d*") == r".*a.*b.*c|d*"
+    began = time.time()
+    long = spark.createDataFrame([("log + " * 20_000,)], "t string")
+    assert not long.where(F.col("t").rlike(X.java_pattern(patterns[0]))).count() and time.time() - began < 30
