@@ -27,7 +27,7 @@ LANGUAGE_EXTENSIONS = {
 #: Noncharacters that set off matches; a file that holds them is scanned with spaces in their places.
 START, STOP = "\ufdd0", "\ufdd1"
 #: Comments and string literals of the languages with structural rules.
-NOT_CODE = r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+NOT_CODE = r"""//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
 SPANS = "array<struct<line_start:int,line_end:int>>"
 FINDING = ("file_path", "line_start", "line_end", "detector", "vuln_type", "severity", "description")
 

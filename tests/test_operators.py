@@ -436,3 +436,11 @@ def test_patterns_without_restarts(spark):
     began = time.time()
     long = spark.createDataFrame([("log + " * 20_000,)], "t string")
     assert not long.where(F.col("t").rlike(X.java_pattern(patterns[0]))).count() and time.time() - began < 30
+
+
+def test_calls_after_long_literals(spark):
+    """A literal or comment of any length is passed over, and a rule is not run on files of other languages."""
+    body = 'x = "' + r"\"eval(0)" * 20_000 + '"\n' + "/* eval(1) * / " + "**eval(2)" * 20_000 + " **/ eval(3)\n'" + r"\\" * 20_000 + "' // eval(4)\neval(5) /* eval(6)"
+    rule = {"id": "e", "name": "e", "description": "", "severity": "high", "language": "all", "cwe": None, "query": '(call_expression function: (identifier) @f (#eq? @f "eval"))'}
+    found = X.scan_content(files(spark, ("a.js", body)), [rule]).select("line_start").collect()
+    assert [r[0] for r in found] == [2, 4]
