@@ -444,3 +444,25 @@ def test_calls_after_long_literals(spark):
     rule = {"id": "e", "name": "e", "description": "", "severity": "high", "language": "all", "cwe": None, "query": '(call_expression function: (identifier) @f (#eq? @f "eval"))'}
     found = X.scan_content(files(spark, ("a.js", body)), [rule]).select("line_start").collect()
     assert [r[0] for r in found] == [2, 4]
+
+
+def spread(df, parts=8):
+    """Rows by task: no task of many has a quarter of them."""
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return len(rows) >= parts and max(rows) * 4 <= sum(rows)
+
+
+def one_name(spark, n):
+    rows = [(f"s{i}", "N", "Class" if i % 2 else "Method", "f", 1 + i % 3, 1 + i % 3 + 9 * (i % 2), "n(N)", "p", ["N"], {"callerMethod": "N"}) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, name string, kind string, file_path string, start_line bigint, end_line bigint, code string, package string, parent_classes array<string>, metadata map<string,string>")
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_containment_of_one_cell_is_spread(spark, monkeypatch, compat):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = one_name(spark, 400)
+    if compat:
+        rows = rows.withColumn("end_line", F.when(F.col("kind") == "Class", 4).otherwise(5).cast("long"))
+    edges = N.containment_edges(rows, compat)
+    want = sum(compat or 1 + i % 3 <= 1 + j % 3 for i in range(1, 400, 2) for j in range(0, 400, 2))
+    assert edges.count() == edges.distinct().count() == want and spread(edges)
