@@ -466,3 +466,9 @@ def test_containment_of_one_cell_is_spread(spark, monkeypatch, compat):
     edges = N.containment_edges(rows, compat)
     want = sum(compat or 1 + i % 3 <= 1 + j % 3 for i in range(1, 400, 2) for j in range(0, 400, 2))
     assert edges.count() == edges.distinct().count() == want and spread(edges)
+
+
+def test_inheritance_of_one_name_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    edges = N.inheritance_edges(one_name(spark, 200))
+    assert edges.count() == edges.distinct().count() == 100 * 200 and spread(edges)
