@@ -472,3 +472,12 @@ def test_inheritance_of_one_name_is_spread(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     edges = N.inheritance_edges(one_name(spark, 200))
     assert edges.count() == edges.distinct().count() == 100 * 200 and spread(edges)
+
+
+def test_call_edges_of_one_name_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = one_name(spark, 200)
+    edges = N.site_edges(rows.withColumn("kind", F.lit("MethodCall")))
+    assert edges.count() == edges.distinct().count() == 200 * 200 and spread(edges)
+    edges = N.textual_call_edges(rows.withColumn("code", F.lit("M(x)")).unionByName(one_name(spark, 99).withColumn("id", F.concat(F.lit("t"), "id")).withColumn("name", F.lit("M")).withColumn("kind", F.lit("Struct"))))
+    assert edges.count() == edges.distinct().count() == 100 * 99 and spread(edges)
