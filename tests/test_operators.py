@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,3 +482,14 @@ def test_call_edges_of_one_name_are_spread(spark, monkeypatch):
     assert edges.count() == edges.distinct().count() == 200 * 200 and spread(edges)
     edges = N.textual_call_edges(rows.withColumn("code", F.lit("M(x)")).unionByName(one_name(spark, 99).withColumn("id", F.concat(F.lit("t"), "id")).withColumn("name", F.lit("M")).withColumn("kind", F.lit("Struct"))))
     assert edges.count() == edges.distinct().count() == 100 * 99 and spread(edges)
+
+
+def test_diff_lines_leave_some_texts_at_a_time():
+    texts = [None if i % 9 == 0 else "\n".join(f"{i * j % 7}" for j in range(i % 5)) for i in range(300)]
+    left, right = pa.array(texts, pa.string()), pa.array(texts[::-1], pa.string())
+    pieces = list(D.diff_batches(iter([(left, right)])))
+    assert max(map(len, pieces)) <= D.DIFF_TEXTS < 300
+    for x, y, got in zip(texts, texts[::-1], [d for p in pieces for d in p.to_pylist()], strict=True):
+        p, q = (x or "").splitlines(), (y or "").splitlines()
+        want = [(k, i if i is None else i + 1, j if j is None else j + 1, q[j] if i is None else p[i]) for k, i, j in D.shortest_edit(p, q)]
+        assert [tuple(r.values()) for r in got] == want
