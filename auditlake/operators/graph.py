@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scalar as S
 from auditlake.operators.ordering import first_symbols
-from auditlake.plans.tables import stored
+from auditlake.plans.tables import stored, task_count
 
 # Fixed value: lines after a class's line within which a member may stand, in the compatible containment rule.
 COMPAT_SPAN = 100
 #: Lines of a cell of the containment join.
 CELL = 16
-#: Rows of a block, and the fewest tasks, of a join whose keys hold many rows on both sides.
-BLOCK, TASKS = 1024, 96
+#: Rows of a block of a join whose keys hold many rows on both sides.
+BLOCK = 1024
 
 
 def call_edges(symbols: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def pairs_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
         dealt = rows.dropna(subset=keys).withColumn(f"{side}_block", F.floor((number - 1) / BLOCK))
         return dealt.groupBy(*keys, f"{side}_block").agg(F.collect_list(F.struct(*rest)).alias(side))
 
-    tasks = max(TASKS, 4 * left.sparkSession.sparkContext.defaultParallelism)
+    tasks = task_count(left.sparkSession)
     met = blocks(left, "_l").join(blocks(right, "_r"), keys).repartition(tasks, *keys, "_l_block", "_r_block")
     return met.select(F.explode("_l").alias("_l"), "_r").select("_l", F.explode("_r").alias("_r")).select("_l.*", "_r.*")
 

@@ -22,7 +22,7 @@ from auditlake.operators import vectors as V
 from auditlake.operators import windows as W
 from auditlake.plans import inputs as I  # noqa: E741
 from auditlake.plans.registry import ORACLES, query
-from auditlake.plans.tables import new_path
+from auditlake.plans.tables import new_path, task_count
 from auditlake.sources import files as SF
 from auditlake.sources.rules import rule_table
 from auditlake.streaming import events as E
@@ -475,7 +475,7 @@ def sql_table_function(spark, sf):
     """The symbol extractor as a lateral table function."""
     SQL.register(spark)
     source = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(":\n    def run(self):\n        self.queue.put(1)\n"))
-    files = I.files(spark, sf).select(F.concat("path", F.lit(".py")).alias("path"), source.alias("content"))
+    files = I.files(spark, sf).select(F.concat("path", F.lit(".py")).alias("path"), source.alias("content")).repartition(task_count(spark))
     return spark.sql("SELECT coalesce(s.kind, 'total') AS kind, count(*) AS n FROM {files} f, LATERAL extract_symbols(f.path, f.content) s GROUP BY ROLLUP (s.kind)", files=files)
 
 

@@ -10,9 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The fewest tasks of a step whose work is large beside its input.
+FEWEST_TASKS = 96
 _OWN: dict[str, str] = {}
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks to deal such a step into: input of few bytes is read in few partitions, and small ones are joined."""
+    return max(FEWEST_TASKS, 4 * spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset, a temporary one if Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -493,3 +493,10 @@ def test_diff_lines_leave_some_texts_at_a_time():
         p, q = (x or "").splitlines(), (y or "").splitlines()
         want = [(k, i if i is None else i + 1, j if j is None else j + 1, q[j] if i is None else p[i]) for k, i, j in D.shortest_edit(p, q)]
         assert [tuple(r.values()) for r in got] == want
+
+
+def test_symbols_of_one_partition_are_spread(spark):
+    df = files(spark, *((f"f{i}.rs", f"struct S{i} {{ n: u32 }}\nfn f() {{ g() }}\n") for i in range(400))).coalesce(1)
+    found = Y.extract_symbols(df)
+    assert spread(found)
+    assert Counter(r["name"] for r in found.collect()) == {f"S{i}": 1 for i in range(400)} | {"f": 400, "g": 400}
