@@ -66,12 +66,14 @@ def _best_of_blocks(k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.to_pylist():
-                dim = block["r_dim"]
-                if dim != block["q_dim"]:
+            for at in range(batch.num_rows):
+                # A view of one pair of blocks: a batch holds many, and what is found in each goes on at once.
+                block = {name: column[at] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                dim = block["r_dim"].as_py()
+                if dim != block["q_dim"].as_py():
                     continue
-                ids, query_ids = np.array(block["r_ids"]), np.array(block["q_ids"])
-                rows, queries = (np.frombuffer(block[x]).reshape(len(n), dim) for x, n in (("r_data", ids), ("q_data", query_ids)))
+                ids, query_ids = (block[x].values.to_numpy() for x in ("r_ids", "q_ids"))
+                rows, queries = (np.frombuffer(block[x].as_buffer()).reshape(len(n), dim) for x, n in (("r_data", ids), ("q_data", query_ids)))
                 with np.errstate(all="ignore"):
                     rough = queries @ rows.T
                     size = (rows * rows).sum(1)

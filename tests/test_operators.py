@@ -1,4 +1,5 @@
 import random
+import struct
 import time
 from collections import Counter
 
@@ -500,3 +501,12 @@ def test_symbols_of_one_partition_are_spread(spark):
     found = Y.extract_symbols(df)
     assert spread(found)
     assert Counter(r["name"] for r in found.collect()) == {f"S{i}": 1 for i in range(400)} | {"f": 400, "g": 400}
+
+
+def test_pairs_of_blocks_leave_one_by_one():
+    """Python holds what is found in one pair of blocks, not in all pairs of a batch."""
+    ids, data = [1, 2, 3], [0.0, 0.0, 1.0, 0.0, 0.0, 2.0]
+    side = {"ids": pa.array([ids] * 4, pa.list_(pa.int64())), "data": pa.array([struct.pack("6d", *data)] * 4), "dim": pa.array([2] * 4, pa.int32())}
+    batch = pa.RecordBatch.from_pydict({f"{s}_{k}": v for s in "rq" for k, v in side.items()})
+    out = list(V._best_of_blocks(1, "l2")(iter([batch])))
+    assert [sorted(zip(*b.to_pydict().values(), strict=True)) for b in out] == [[(1, 2, 0.0), (2, 1, 0.0), (3, 1, -3.0)]] * 4
